@@ -18,6 +18,7 @@ from lodestone.llm.common import U, chunks, distinct_per_row, forget, lower_byte
 class JaccardParams:
     """Pairs of sets of ``n``-word grams with a Jaccard similarity of ``threshold`` or more.
 
+    Similar sets share ``witnesses`` grams of their prefixes, or all they must share if that is less; fewer make no candidate.
     ``vertical`` fragments of the order are counted apart for each pair. ``fragment_grams`` sets how many grams one task holds.
     ``popular`` and ``local_count`` bound the table that orders frequent grams last: it changes the cost, never the result.
     ``broadcast_ids`` is the size up to which ids are sent to all tasks; beyond it they are joined.
@@ -25,6 +26,7 @@ class JaccardParams:
 
     n: int = 3
     threshold: float = 0.5
+    witnesses: int = 3
     vertical: int = 4
     fragment_grams: int = 2_500_000
     popular: int = 1 << 19
@@ -32,8 +34,8 @@ class JaccardParams:
     broadcast_ids: int = 2_000_000
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
-        """How many of a set's first grams include one of any similar set's first grams."""
-        return size - np.ceil(self.threshold * size - 1e-9).astype(np.int64) + 1
+        """How many of a set's first grams include ``witnesses`` of any similar set's first grams."""
+        return np.minimum(size, size - np.ceil(self.threshold * size - 1e-9).astype(np.int64) + self.witnesses)
 
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The least overlap of sets of these sizes that is similar."""
@@ -141,8 +143,12 @@ def _unpack(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4")
 
 
-def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray, params: JaccardParams, step: int = 1 << 21) -> Iterator[np.ndarray]:
-    """Distinct pairs of signatures that share a gram here and whose sizes and places still allow the threshold."""
+def _summed(found: pd.DataFrame) -> pd.DataFrame:
+    return found.groupby(["a", "b", "need"], as_index=False, sort=False)["n"].sum()
+
+
+def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray, params: JaccardParams, step: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """Pairs of signatures a, b that share n grams here, in places that still allow the threshold; ``need`` is how many they must share in all fragments."""
     o = np.argsort(grams)
     g = grams[o]
     same = np.zeros(len(g) + 1, bool)
@@ -164,12 +170,12 @@ def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place:
             many = np.array([min(step, n[lo] - part)]) if hi == lo + 1 else n[lo:hi]
             i = np.repeat(np.arange(lo, hi), many)
             j = i + 1 + part + np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-            ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= params.overlap(size[i], size[j])
-            i, j = i[ok], j[ok]
-            pair = np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], axis=1)
-            if len(pair):
-                view = np.ascontiguousarray(pair).view([("a", "<i8"), ("b", "<i8")]).ravel()
-                yield np.unique(view)
+            # of the grams two similar sets share, the one in place w has overlap - w + 1 from there on
+            least = params.overlap(size[i], size[j])
+            ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= least - (params.witnesses - 1)
+            i, j, least = i[ok], j[ok], least[ok]
+            if len(i):
+                yield _summed(pd.DataFrame({"a": np.minimum(sig[i], sig[j]), "b": np.maximum(sig[i], sig[j]), "need": np.minimum(least, params.witnesses).astype(np.int32), "n": 1}))
         lo = hi
 
 
@@ -233,7 +239,7 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Ja
     coarse = np.zeros(1 << 20, bool)
     coarse[(keys >> U(44)).astype(np.int64)] = True
     cast = spark.sparkContext.broadcast((keys, level, coarse))
-    total = sets.agg(F.sum(F.col("size") - F.ceil(F.col("size") * params.threshold - 1e-9) + 1)).first()[0] or 0
+    total = sets.agg(F.sum(F.col("size") - F.ceil(F.col("size") * params.threshold - 1e-9) + params.witnesses)).first()[0] or 0
     fragments = max(1, -(-int(total) // params.fragment_grams))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,16 +249,15 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Ja
         size = np.concatenate([np.frombuffer(x, "<u4")[r] for x, r in zip(pdf["sizes"], rows, strict=True)])
         place = np.concatenate([_unpack(x, len(g)) for x, g in zip(pdf["places"], grams, strict=True)]).astype(np.uint32)
         del rows, pdf
-        found = np.zeros(0, [("a", "<i8"), ("b", "<i8")])
-        held: list[np.ndarray] = []
+        held = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "need": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})]
         for x in candidate_pairs(np.concatenate(grams), sig, size, place, params):
             held.append(x)
             if sum(map(len, held)) > 1 << 22:
-                found, held = np.unique(np.concatenate([found, *held])), []
-        found = np.unique(np.concatenate([found, *held]))
-        return pd.DataFrame({"a": found["a"], "b": found["b"]})
+                held = [_summed(pd.concat(held))]
+        return _summed(pd.concat(held))
 
-    shared = _prefixes(docs, params, fragments, cast).repartition(fragments, "fragment").groupBy("fragment").applyInPandas(join, "a long, b long").distinct()
+    shared = _prefixes(docs, params, fragments, cast).repartition(fragments, "fragment").groupBy("fragment").applyInPandas(join, "a long, b long, need int, n long")
+    shared = shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
     name = first.select(F.col("signature"), "representative", "size")
     pair = shared.join(name.toDF("a", "ra", "sa"), "a").join(name.toDF("b", "rb", "sb"), "b")
     lower = F.col("ra") < F.col("rb")
