@@ -7,6 +7,7 @@ from html.entities import html5, name2codepoint
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _UNKNOWN = set("alefsym dArr frasl hArr image lArr lang middot rArr rang real uArr weierp".split())
 _INVISIBLE = set("Tab NewLine nbsp shy ensp emsp thinsp zwnj zwj lrm rlm".split())
@@ -39,6 +40,6 @@ def decode(text: str | None) -> str | None:
     return text if text is None or "&" not in text else _REFERENCE.sub(_one, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     return text.map(decode, na_action="ignore")

@@ -9,11 +9,12 @@ from lodestone.config import EngineConfig
 from lodestone.functions.text import query_tokens, stem
 from lodestone.operators.expansion import expand
 from lodestone.operators.indexing import Index
+from lodestone.plans.session import stored
 
 
 def parse_queries(queries: DataFrame, config: EngineConfig) -> DataFrame:
     """qid, term, cnt from qid, query: lower case, stemmed, repeated terms counted. Terms that stem to '' go."""
-    raw = queries.select("qid", F.explode(query_tokens(F.lower("query"))).alias("term"))
+    raw = queries.select("qid", F.explode(query_tokens(F.col("query"))).alias("raw")).select("qid", F.lower("raw").alias("term"))
     if config.synonyms:
         raw = expand(raw)
     return raw.select("qid", stem(F.col("term"), config.stemmer).alias("term")).filter("term <> ''").groupBy("qid", "term").agg(F.count("*").cast("int").alias("cnt"))
@@ -66,7 +67,7 @@ def rescale(kept: DataFrame, config: EngineConfig) -> DataFrame:
 
 def accumulate(index: Index, scored: DataFrame) -> DataFrame:
     """qid, doc_id, score: only now the segments' ids are read."""
-    cells = _small(scored.select("qid", "term", "impact", "score"), index.config)
+    cells = _small(stored(scored.select("qid", "term", "impact", "score"), "cells"), index.config)
     rows = index.segments.select("term", "impact", "docs").join(cells, ["term", "impact"]).select("qid", "score", F.explode("docs").alias("doc_id"))
     return rows.groupBy("qid", "doc_id").agg(F.sum("score").cast("int").alias("score"))
 
