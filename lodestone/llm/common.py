@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 U = np.uint64
@@ -37,6 +38,15 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one, ``row``, so that columns that operators add clash with none of them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in like.columns))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a stored table that no later plan reads."""
     jvm = spark.sparkContext._jvm

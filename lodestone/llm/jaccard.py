@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U, chunks, distinct_per_row, forget, lower_bytes, mix, row_sums, shared_dir, shingles, span_hashes, stored, words
+from lodestone.llm.common import U, chunks, distinct_per_row, forget, lower_bytes, mix, packed, row_sums, shared_dir, shingles, span_hashes, stored, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -356,15 +356,16 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     found = jaccard_join(docs, params)
     edges = found.pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(found.members.filter("doc_id <> representative").select("representative", "doc_id"))
     gone = components(edges).filter("node <> component").select(F.col("node").alias("_gone"))
-    n = gone.count()
-    if n:
-        out = docs.join(F.broadcast(gone) if n <= params.broadcast_ids else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    else:
-        out = docs
-    again = found.members.groupBy("doc_id").agg(F.sum("n_rows").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_again"))
-    m = again.count()
-    if not m:
-        return out
-    again = F.broadcast(again) if m <= params.broadcast_ids else again
-    same = F.col("doc_id").cast("long") == F.col("_again")
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    rows = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
+    out = _without(rows, gone, "left_anti", params) or rows
+    again = found.members.groupBy("doc_id").agg(F.sum("n_rows").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_gone"))
+    once = _without(out, again, "left_anti", params)
+    if once is not None:
+        out = once.unionByName(_without(out, again, "left_semi", params).dropDuplicates(["id"]))
+    return unpacked(out, docs)
+
+
+def _without(rows: DataFrame, ids: DataFrame, how: str, params: JaccardParams) -> DataFrame | None:
+    """``rows`` that are in ``ids``, or aren't; None if there are no ids. Few ids are sent to all tasks."""
+    n = ids.count()
+    return rows.join(F.broadcast(ids) if n <= params.broadcast_ids else ids, F.col("id") == F.col("_gone"), how) if n else None

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, stored
+from lodestone.llm.common import packed, shared_dir, stored, unpacked
 
 TOKEN = "[^ \\t\\n\\r\\f\\x0B]+"
 
@@ -33,8 +33,8 @@ def count_tokens(text):
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def _key(params: MixParams):
-    return F.md5(F.concat(F.lit(params.seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _key(params: MixParams, doc_id=None):
+    return F.md5(F.concat(F.lit(params.seed + "|"), F.coalesce((F.col("doc_id") if doc_id is None else doc_id).cast("string"), F.lit(""))))
 
 
 def _placed(docs: DataFrame, params: MixParams) -> DataFrame:
@@ -90,22 +90,26 @@ def take_mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
     Each source's mix is one place in its order, so the texts meet a table with one row a source and aren't shuffled.
     """
-    names, spark = docs.columns, docs.sparkSession
+    spark = docs.sparkSession
     placed = _placed(docs, params)
-    place = F.struct("mix_key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"))
+    first = F.lit(-(1 << 63)).cast("long")
+    place = F.struct("mix_key", F.coalesce("doc_id", first).alias("id"))
     left = F.struct(place.alias("at"), (F.col("_rest") - F.col("start_token")).alias("left"))
     ends = placed.groupBy(F.col("source").alias("_s")).agg(F.first("_epochs").alias("_epochs"), F.min(F.when(~_in_rest(), left)).alias("_end"))
     ends = stored(ends.select("_s", "_epochs", F.col("_end.at").alias("_at"), F.greatest(F.col("_end.left"), F.lit(0)).alias("_left")), f"{shared_dir(spark)}/ends")
     n = ends.count()
-    own = F.struct(_key(params).alias("mix_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"))
-    joined = docs.withColumn("_own", own).join(F.broadcast(ends) if n <= params.broadcast_sources else ends, F.col("source").cast("string").eqNullSafe(F.col("_s")))
+    own = F.struct(_key(params, F.col("row.doc_id")).alias("mix_key"), F.coalesce(F.col("row.doc_id").cast("long"), first).alias("id"))
+    rows = packed(docs).withColumn("_own", own)
+    joined = rows.join(F.broadcast(ends) if n <= params.broadcast_sources else ends, F.col("row.source").cast("string").eqNullSafe(F.col("_s")))
     copies = F.col("_epochs") + F.when(F.col("_own") < F.col("_at"), F.lit(1)).otherwise(F.lit(0))
     cut = F.when(F.col("_own") == F.col("_at"), F.col("_left")).otherwise(F.lit(0))
     joined = joined.withColumn("_copies", copies).withColumn("_cut", cut)
     times = F.col("_copies") + (F.col("_cut") > 0).cast("long")
     taken = joined.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     last = (F.col("_epoch") == F.col("_copies")) & (F.col("_cut") > 0)
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[ \\t\\n\\r\\f\\x0B]*{TOKEN}"), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), "")
-    taken = taken.withColumn("_text", F.when(last, head).otherwise(F.col("text")))
-    of = {"text": F.col("_text"), "n_chars": F.when(last, F.char_length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
-    return taken.select(*(of[n].alias(n) if of.get(n) is not None else F.col(n) for n in names))
+    head = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"[ \\t\\n\\r\\f\\x0B]*{TOKEN}"), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), "")
+    row = F.col("row").withField("text", F.when(last, head).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        length = F.when(last, F.char_length(head)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", length)
+    return unpacked(taken.select(row.alias("row")), docs)
