@@ -323,8 +323,13 @@ def _exported(spark: SparkSession, sf_dir: str) -> str:
 @query(f"WITH {oracle.found(oracle.BATCH)} SELECT * FROM hits")
 def search_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's queries as a stream, answered batch by batch."""
-    source = f"{sf_dir}/benchmark.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    table = _table(spark, sf_dir, "benchmark")
+    reader = spark.readStream.schema(table.schema)
+    if all(f.endswith("/benchmark.parquet") for f in table.inputFiles()):  # a stream reads folders; here the table is one file
+        source = reader.option("pathGlobFilter", "benchmark.parquet").parquet(sf_dir)
+    else:
+        source = reader.parquet(f"{sf_dir}/benchmark.parquet")
+    stream = source.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     out = f"{workspace(spark)}/stream-{uuid.uuid4().hex}"
     answer_stream(document_index(spark, sf_dir), stream, f"{out}/answers", f"{out}/progress").awaitTermination()
     return spark.read.parquet(f"{out}/answers").select("qid", "rank", "doc_id", "score")

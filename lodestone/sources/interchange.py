@@ -22,6 +22,10 @@ SCHEMAS = {
 }
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1 << 16
+
+
 def _varint(value: int) -> bytes:
     value &= (1 << 64) - 1
     out = bytearray()
@@ -202,21 +206,42 @@ class InterchangeReader(DataSourceReader):
         return spans or [Span(0, 0, 0)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        """Batches of many messages; a list longer than a batch is one of its own."""
+        held: list = []
+        rows = 0
         with _open(self.path) as f:
             f.seek(partition.start)
             for i in range(partition.count):
                 message = f.read(_length(f))
                 if self.part == "header":
-                    yield pa.RecordBatch.from_pylist([decode_header(message)], pa.schema([("version", pa.int32()), ("num_postings_lists", pa.int32()), ("num_docs", pa.int32()), ("total_postings_lists", pa.int32()), ("total_docs", pa.int32()), ("total_terms_in_collection", pa.int64()), ("average_doclength", pa.float64()), ("description", pa.string())]))
+                    held.append(decode_header(message))
                 elif self.part == "postings":
-                    term, df, cf, ids, tfs = decode_postings(message)
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array([term] * n, pa.string()), pa.array(np.full(n, df, np.int64)), pa.array(np.full(n, cf, np.int64)), pa.array(ids), pa.array(np.clip(tfs, -(1 << 31), (1 << 31) - 1).astype(np.int32))], names=["term", "df", "cf", "doc_id", "tf"])
+                    held.append(decode_postings(message))
+                    rows += len(held[-1][3])
                 else:
                     own = {k: v for k, v, _ in fields(message)}
                     if own.get(1, 0) != partition.first + i:
                         raise ValueError(f"document record {partition.first + i} has id {own.get(1, 0)}")
-                    yield pa.RecordBatch.from_arrays([pa.array([own.get(1, 0)], pa.int64()), pa.array([own.get(2, b"").decode("utf-8", "replace")]), pa.array([own.get(3, 0)], pa.int32())], names=["doc_id", "name", "len"])
+                    held.append((own.get(1, 0), own.get(2, b"").decode("utf-8", "replace"), own.get(3, 0)))
+                    rows += 1
+                if rows >= BATCH_ROWS:
+                    yield self._batch(held)
+                    held, rows = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, held: list) -> pa.RecordBatch:
+        if self.part == "header":
+            names = [c.split() for c in SCHEMAS["header"].split(", ")]
+            kind = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], kind[t]) for n, t in names], names=[n for n, _ in names])
+        if self.part == "documents":
+            ids, names, lengths = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(lengths, pa.int32())], names=["doc_id", "name", "len"])
+        terms, dfs, cfs, ids, tfs = zip(*held, strict=True)
+        of = np.repeat(np.arange(len(held)), [len(x) for x in ids])
+        small = np.clip(np.concatenate(tfs), -(1 << 31), (1 << 31) - 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(of)), *(pa.array(np.array(x, np.int64)[of]) for x in (dfs, cfs)), pa.array(np.concatenate(ids)), pa.array(small)], names=["term", "df", "cf", "doc_id", "tf"])
 
 
 class InterchangeSource(DataSource):
