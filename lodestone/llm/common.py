@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect what nothing refers to, so that shuffle files behind written tables go before more are made."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_path(path: str) -> str | None:
     """The plain path of a folder that is mounted, None for a remote file system."""
     if path.startswith("file:"):

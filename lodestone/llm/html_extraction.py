@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U, chunks, lower_bytes, shared_dir, shingles, span_hashes, stored, words
+from lodestone.llm.common import U, chunks, lower_bytes, release, shared_dir, shingles, span_hashes, stored, words
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,8 @@ def extract_main_text(pages: DataFrame, params: ExtractionParams = ExtractionPar
     if not several:
         return packed.groupBy("host", "shard").applyInPandas(lambda g: extract(g, None), schema)
     crossing = rows.filter("_shards > 1").mapInArrow(emit, "host string, fragment int, shard int, hashes binary")
-    marks = crossing.groupBy("host", "fragment").applyInPandas(meet, "host string, shard int, hashes binary")
+    marks = stored(crossing.groupBy("host", "fragment").applyInPandas(meet, "host string, shard int, hashes binary"), f"{where}/marks")
+    release(spark)
 
     def both(group: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         return extract(group, marks) if len(group) else pd.DataFrame({"page_id": pd.array([], "Int64"), "host": [], "n_words": [], "n_kept": [], "text": []})

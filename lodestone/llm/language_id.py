@@ -88,7 +88,7 @@ class LanguageModel:
             hits = np.zeros((hi - lo, len(self.languages)))
             for i in range(len(self.languages)):
                 hits[:, i] = row_sums((m >> m.dtype.type(i)) & m.dtype.type(1), at)
-            scores.append(np.clip((hits - n[:, None] * self.rates) / (1 - self.rates), 0, None) / np.maximum(n, 1)[:, None])
+            scores.append(np.clip((hits - n[:, None] * self.rates) / np.maximum(1 - self.rates, 1e-9), 0, None) / np.maximum(n, 1)[:, None])
             counts.append(n)
         if not scores:
             return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
