@@ -7,12 +7,13 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions.entities import decode_entities
 from lodestone.functions.text import BLANK, html_body, html_index_tokens, html_titles, plain_tokens, trec_body, trec_docno
+from lodestone.plans.session import stored
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -20,8 +21,6 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    from lodestone.plans.session import stored
-
     placed = stored(placed, "numbered")
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -47,6 +46,13 @@ def from_html(rows: DataFrame, id_column: str, html_column: str, name_column: st
     return rows.select(*columns)
 
 
+def _relative(path: str) -> Column:
+    """The part of a file's URI below a folder, as it is written on disk."""
+    root = path.rstrip("/").split("://")[-1].removeprefix("file:")
+    whole = F.expr("url_decode(replace(path, '+', '%2B'))")
+    return F.substring(whole, F.locate(root + "/", whole) + len(root) + 1, F.lit(1 << 20))
+
+
 def read_html(spark: SparkSession, path: str, config: EngineConfig = DEFAULT, base64_names: bool = False, snippets: bool = False) -> DataFrame:
     """Every *.html file under a folder, or one file. Ids follow the order of names; other files are skipped.
 
@@ -55,15 +61,19 @@ def read_html(spark: SparkSession, path: str, config: EngineConfig = DEFAULT, ba
     if path.endswith(".html"):
         rows = spark.read.format("binaryFile").load(path).select(F.lit(path).alias("name"), F.col("content").cast("string").alias("html"))
     else:
-        root = path.rstrip("/")
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
-        start = F.locate(root.split("://")[-1] + "/", F.col("path")) + len(root.split("://")[-1]) + 1
-        rows = found.select(F.expr("url_decode(replace(path, '+', '%2B'))").alias("path"), F.col("content").cast("string").alias("html")).select(F.substring("path", start, F.lit(1 << 20)).alias("name"), "html")
+        rows = found.select(_relative(path).alias("name"), F.col("content").cast("string").alias("html"))
     if base64_names:
         rows = rows.withColumn("name", decode_name(F.col("name")))
     return from_html(numbered(rows, "name"), "doc_id", "html", "name", config, snippets)
 
 
+def skipped(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """name of every file under a folder that a reader of ``suffix`` passes over. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(_relative(path).alias("name")).filter(~F.col("name").endswith(suffix))
+
+
 def decode_name(name):
     """The document name behind a file name whose stem is base64; folders are not part of it."""
     return F.unbase64(F.regexp_replace(F.regexp_replace(name, "^.*/", ""), "\\.html$", "")).cast("string")
@@ -71,7 +81,7 @@ def decode_name(name):
 
 def read_trec(spark: SparkSession, path: str, config: EngineConfig = DEFAULT) -> DataFrame:
     """SGML files (*.xml) of many documents each, which begin at their DOCNO; what stands before the first is dropped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     docs = files.select("file", F.posexplode(F.split("value", rf"(?=<[{BLANK}]*DOCNO)")).alias("place", "doc")).filter(F.col("doc").rlike(rf"^<[{BLANK}]*DOCNO"))
     docs = docs.select("file", "place", trec_docno(F.col("doc"), config).alias("name"), trec_body(F.col("doc"), config).alias("text"))
     return from_plain(numbered(docs, "file", "place"), "doc_id", "text", config, "name")

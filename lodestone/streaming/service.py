@@ -95,7 +95,7 @@ def _receive(conn: socket.socket) -> bytes:
     data = b""
     while True:
         want = _HEAD.size
-        if len(data) >= _HEAD.size and data[1] == SEARCH:
+        if len(data) >= _HEAD.size and data[0] == VERSION and data[1] == SEARCH:
             want += _SEARCH.size
             if len(data) >= want:
                 want += _SEARCH.unpack_from(data, _HEAD.size)[2]
@@ -107,8 +107,9 @@ def _receive(conn: socket.socket) -> bytes:
         data += more
 
 
-def serve(index: Index, path: str, requests: int | None = None) -> None:
-    """Answer one request a connection at a Unix socket, for ever or for so many. A bad request ends its connection alone."""
+def serve(index: Index, path: str, requests: int | None = None, timeout: float = 30.0) -> None:
+    """Answer one request a connection at a Unix socket, for ever or for so many. A bad request, or a client that is silent
+    for ``timeout`` seconds, ends its connection alone."""
     if os.path.exists(path):
         os.unlink(path)
     with socket.socket(socket.AF_UNIX) as listener:
@@ -116,6 +117,7 @@ def serve(index: Index, path: str, requests: int | None = None) -> None:
         listener.listen()
         while requests is None or requests > 0:
             conn, _ = listener.accept()
+            conn.settimeout(timeout)
             with conn:
                 try:
                     if out := respond(index, _receive(conn)):
@@ -130,6 +132,7 @@ def ask(path: str, frame: bytes) -> dict:
     with socket.socket(socket.AF_UNIX) as conn:
         conn.connect(path)
         conn.sendall(frame)
+        conn.shutdown(socket.SHUT_WR)
         data = b""
         while more := conn.recv(65536):
             data += more
