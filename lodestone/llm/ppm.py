@@ -9,21 +9,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SharedArrays, U, chunks, shared_dir, stored
+from lodestone.llm.common import U, chunks, local_path, shared_dir, stored
 
 
 @dataclass(frozen=True)
 class PpmParams:
     """``order`` is the number of context bytes (7 at most). Each document is scored by the trie of the ``folds`` - 1 folds that
-    it isn't in. Up to ``mapped_nodes`` leaves the tries are memory-mapped by each worker; beyond, scoring joins with them.
+    it isn't in. Up to ``mapped_nodes`` leaves each worker loads the tries; beyond, scoring joins with them.
     """
 
     order: int = 4
     folds: int = 2
-    mapped_nodes: int = 1 << 23
+    mapped_nodes: int = 1 << 22
     count_bytes: int = 1 << 25
 
 
@@ -73,12 +75,14 @@ class Trie:
                 ls.append(np.zeros(len(context), np.int64))
         return Trie(*map(tuple, (ks, cs, xs, ts, ds, ls)))
 
-    def arrays(self, prefix: str) -> dict[str, np.ndarray]:
-        return {f"{prefix}{name}{k}": a for name in ("keys", "counts", "contexts", "totals", "distinct", "lower") for k, a in enumerate(getattr(self, name))}
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {f"{name}{k}": a for name in ("keys", "counts", "contexts", "totals", "distinct", "lower") for k, a in enumerate(getattr(self, name))}
 
     @staticmethod
-    def of(arrays: dict[str, np.ndarray], prefix: str, order: int) -> Trie:
-        return Trie(*(tuple(arrays[f"{prefix}{name}{k}"] for k in range(order + 1)) for name in ("keys", "counts", "contexts", "totals", "distinct", "lower")))
+    def of(arrays: dict[str, np.ndarray], order: int) -> Trie:
+        """From what ``arrays`` gave; nothing at all is the trie of an empty corpus."""
+        none = {"keys": np.uint64, "contexts": np.uint64}
+        return Trie(*(tuple(arrays.get(f"{name}{k}", np.zeros(0, none.get(name, np.int64))) for k in range(order + 1)) for name in ("keys", "counts", "contexts", "totals", "distinct", "lower")))
 
     def code_lengths(self, grams: np.ndarray) -> np.ndarray:
         """Bits for the last byte of each gram after the bytes before it.
@@ -181,6 +185,27 @@ def _fold(params: PpmParams):
     return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(params.folds)).cast("int")
 
 
+_LOADED: dict[str, list[Trie]] = {}
+
+
+def _load(path: str, order: int, folds: int) -> list[Trie]:
+    """The tries of all folds, kept by a worker for its next task. Each array is a file of its own, read without copies."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        place = local_path(path)
+        fs, base = (pafs.LocalFileSystem(), place) if place else pafs.FileSystem.from_uri(path)
+        arrays: list[dict[str, np.ndarray]] = [{} for _ in range(folds)]
+        for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                name = info.path.split("/name=")[1].split("/")[0]
+                kind = np.uint64 if name.startswith(("keys", "contexts")) else np.int64
+                table = pq.ParquetFile(fs.open_input_file(info.path)).read(["side", "data"])
+                for side, data in zip(table["side"].to_pylist(), table["data"], strict=True):
+                    arrays[side][name] = np.frombuffer(data.as_buffer(), kind)
+        _LOADED[path] = [Trie.of(a, order) for a in arrays]
+    return _LOADED[path]
+
+
 def score_documents(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, code_bits, bits_per_byte, by the trie of the other folds' documents.
 
@@ -194,17 +219,19 @@ def score_documents(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFra
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fold(params).alias("fold"), "text")
     if counts.count() > params.mapped_nodes:
         return _score_by_join(source, counts, params)
-    found = counts.toPandas()
-    arrays: dict[str, np.ndarray] = {}
-    for fold in range(folds):
-        other = found[found["fold"] != fold].groupby("gram")["n"].sum() if folds > 1 else found.groupby("gram")["n"].sum()
-        arrays |= Trie.build(other.index.to_numpy(np.int64).view(np.uint64), other.to_numpy(), order).arrays(f"{fold}_")
-    del found
-    shared = SharedArrays(spark, arrays)
+    side = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    other = counts.withColumn("side", side).filter((F.col("side") != F.col("fold")) | F.lit(folds == 1))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = pdf.groupby("gram", sort=False)["n"].sum()
+        arrays = Trie.build(sums.index.to_numpy(np.int64).view(np.uint64), sums.to_numpy(), order).arrays()
+        return pd.DataFrame({"side": pdf["side"].iloc[0], "name": list(arrays), "data": [a.tobytes() for a in arrays.values()]})
+
+    tries = f"{shared_dir(spark)}/tries"
+    other.groupBy("side").applyInPandas(grow, "side int, name string, data binary").write.partitionBy("name").parquet(tries)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = shared.load()
-        tries = [Trie.of(loaded, f"{f}_", order) for f in range(folds)]
+        grown = _load(tries, order, folds)
         for batch in batches:
             fold = batch.column("fold").to_numpy()
             sizes, bits = [], []
@@ -215,7 +242,7 @@ def score_documents(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFra
                 for f in range(folds):
                     own = np.flatnonzero(of == f)
                     at, level = pd.factorize(g[own])
-                    each[own] = tries[f].code_lengths(level)[at] if len(level) else 0
+                    each[own] = grown[f].code_lengths(level)[at] if len(level) else 0
                 total = np.concatenate([[0], np.cumsum(each)])
                 bits.append(total[offsets[1:]] - total[offsets[:-1]])
                 sizes.append(np.diff(offsets))
