@@ -49,8 +49,13 @@ def query_tokens(query: Column) -> Column:
 
 
 def terms_of(tokens: Column, stemmer: str = "none") -> Column:
-    """Index terms of an array of raw tokens, in order, without empty ones."""
-    return F.filter(F.transform(tokens, lambda t: normalise(t, stemmer)), lambda t: t != "")
+    """Index terms of an array of raw tokens, in order, without empty ones.
+
+    Tokens hold no line breaks, so a document is normalised as one string, with one pass of the expression, not word by word.
+    """
+    letters = F.lower(F.regexp_replace(F.array_join(tokens, "\n"), "[^A-Za-z\n]+", ""))
+    terms = F.array_remove(F.split(letters, "\n"), "")
+    return F.filter(F.transform(terms, lambda t: stem(t, stemmer)), lambda t: t != "") if stemmer != "none" else terms
 
 
 def _flags(config: EngineConfig) -> str:
