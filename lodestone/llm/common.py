@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,9 +57,14 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver collect what nothing refers to, so that shuffle files behind written tables go before more are made."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver collect what nothing refers to, so that shuffle files behind written tables go before more are made.
+
+    What Python lets go of reaches the JVM with the call after, so it takes two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def local_path(path: str) -> str | None:
