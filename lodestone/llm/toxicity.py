@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import U, chunks, lower_bytes, span_hashes, words
 
+PREFIX = 6
 _END = np.zeros(256, dtype=bool)
 _END[[*map(ord, ".!?\n")]] = True
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``train_rows`` bounds the labelled documents fitted on, half of them toxic if there are enough."""
+    """``train_rows`` bounds the labelled documents fitted on, half of them toxic if there are enough. A feature
+    that fewer than ``min_toxic`` toxic ones have marks nothing."""
 
     train_rows: int = 8000
     buckets: int = 1 << 18
+    min_toxic: int = 5
     steps: int = 60
     rate: float = 0.5
     sparsity: float = 0.002
@@ -36,10 +39,11 @@ class ToxicityModel:
 
 
 def _sentences(b: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """Word features, each sentence's first word and its row, word starts and ends, and the bytes' sentence marks."""
+    """Two features a word (itself and its first ``PREFIX`` bytes), each sentence's first word and its row, word starts and ends."""
     low = lower_bytes(b)
     starts, ends, at = words(low, offsets)
-    f = (span_hashes(low, starts, ends) & U(buckets - 1)).astype(np.int64)
+    stem = span_hashes(low, starts, np.minimum(ends, starts + PREFIX)) ^ U(0x9E3779B97F4A7C15)
+    f = (np.stack([span_hashes(low, starts, ends), stem], axis=1) & U(buckets - 1)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     mark = np.cumsum(_END[b])[starts] if len(starts) else np.zeros(0, np.int64)
     new = np.ones(len(starts), dtype=bool)
@@ -49,7 +53,7 @@ def _sentences(b: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nda
 
 
 def fit_toxicity(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, params: ToxicityParams) -> ToxicityModel:
-    """Fit by proximal AdaGrad. Each document is its word features and the index of each sentence's first word.
+    """Fit by proximal AdaGrad. Each document is its features and the index of each sentence's first one.
 
     A sentence's score is the logistic of the sum of its words' weights and the bias; a document's is 1 - prod(1 - score).
     Without documents of both kinds the model finds nothing toxic.
@@ -66,8 +70,9 @@ def fit_toxicity(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, param
     in_doc, of_doc = pair // len(docs), pair % len(docs)
     pos = np.bincount(in_doc, y[of_doc], params.buckets)
     neg = np.bincount(in_doc, 1 - y[of_doc], params.buckets)
-    odds = np.log((pos + 0.1) / (y.sum() + 0.2)) - np.log((neg + 0.1) / (len(y) - y.sum() + 0.2))
-    usable = (pos >= 2) & (odds > 1)  # words no likelier in toxic documents can't mark a sentence
+    # log odds, less 1.64 standard errors: what few documents have, or clean ones have as well, can't mark a sentence
+    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1)) - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    usable = (pos >= params.min_toxic) & (odds > 1)
     features = np.unique(features, return_inverse=True)
     ids, at = features
     ok = usable[ids]
@@ -111,8 +116,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, params: ToxicityPar
                 f, first, row, _, _ = _sentences(b, offsets, buckets)
                 word_at = np.searchsorted(np.repeat(row, np.diff(np.append(first, len(f)))), np.arange(hi - lo + 1))
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
-                fs = [f[word_at[i] : word_at[i + 1]].astype("<i4").tobytes() for i in range(hi - lo)]
-                ss = [(first[at[i] : at[i + 1]] - word_at[i]).astype("<i4").tobytes() for i in range(hi - lo)]
+                fs = [f[word_at[i] : word_at[i + 1]].ravel().astype("<i4").tobytes() for i in range(hi - lo)]
+                ss = [(2 * (first[at[i] : at[i + 1]] - word_at[i])).astype("<i4").tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("_y")[lo:hi], pa.array(fs, pa.binary()), pa.array(ss, pa.binary())], names=["doc_id", "_y", "f", "s"])
 
     found = rows.mapInArrow(cut, "doc_id long, _y int, f binary, s binary").toPandas().sort_values(["doc_id", "f"])
@@ -138,7 +143,7 @@ def find_toxic(docs: DataFrame, model: ToxicityModel, params: ToxicityParams = T
                 f, first, row, starts, ends = _sentences(b, offsets, len(m.weights))
                 if not len(first):
                     continue
-                z = m.bias + np.add.reduceat(m.weights[f].astype(np.float64), first)
+                z = m.bias + np.add.reduceat(m.weights[f].sum(axis=1, dtype=np.float64), first)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 doc = 1 - np.exp(-np.bincount(row, np.logaddexp(0, z), hi - lo))
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
