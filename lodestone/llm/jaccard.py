@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U, chunks, distinct_per_row, forget, lower_bytes, mix, packed, row_sums, shared_dir, shingles, span_hashes, stored, unpacked, words
+from lodestone.llm.common import U, chunks, distinct_per_row, forget, lower_bytes, mix, packed, release, row_sums, shared_dir, shingles, span_hashes, stored, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class JaccardParams:
     threshold: float = 0.5
     witnesses: int = 3
     vertical: int = 4
-    fragment_grams: int = 2_500_000
+    fragment_grams: int = 1_000_000
     popular: int = 1 << 19
     local_count: int = 4
     broadcast_ids: int = 2_000_000
@@ -147,7 +147,7 @@ def _summed(found: pd.DataFrame) -> pd.DataFrame:
     return found.groupby(["a", "b", "need"], as_index=False, sort=False)["n"].sum()
 
 
-def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray, params: JaccardParams, step: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray, params: JaccardParams, step: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """Pairs of signatures a, b that share n grams here, in places that still allow the threshold; ``need`` is how many they must share in all fragments."""
     o = np.argsort(grams)
     g = grams[o]
@@ -179,7 +179,7 @@ def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place:
         lo = hi
 
 
-def overlaps(docs: np.ndarray, grams: list[np.ndarray], a: np.ndarray, b: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+def overlaps(docs: np.ndarray, grams: list[np.ndarray], a: np.ndarray, b: np.ndarray, step: int = 1 << 19) -> np.ndarray:
     """Of each pair of documents (by id) how many of these grams they share."""
     ids, where = np.unique(docs, return_index=True)
     own = [grams[i] for i in where]
@@ -252,7 +252,7 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Ja
         held = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "need": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})]
         for x in candidate_pairs(np.concatenate(grams), sig, size, place, params):
             held.append(x)
-            if sum(map(len, held)) > 1 << 22:
+            if sum(map(len, held)) > 1 << 20:
                 held = [_summed(pd.concat(held))]
         return _summed(pd.concat(held))
 
@@ -263,13 +263,18 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Ja
     lower = F.col("ra") < F.col("rb")
     flat = pair.filter("ra <> rb").select(*(F.when(lower, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("ra", "rb", "doc_a"), ("rb", "ra", "doc_b"), ("a", "b", "set_a"), ("b", "a", "set_b"), ("sa", "sb", "size_a"), ("sb", "sa", "size_b"))))
     candidates = stored(flat, f"{where}/candidates")
+    del shared, pair, flat
+    release(spark)
     counted = _count(docs, candidates, params, where)
     inter = F.col("shared")
     similarity = inter / (F.col("size_a") + F.col("size_b") - inter)
     pairs = candidates.join(counted, ["set_a", "set_b"]).select("doc_a", "doc_b", similarity.alias("similarity")).filter(F.col("similarity") >= params.threshold - 1e-12)
     pairs = pairs.groupBy("doc_a", "doc_b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
     out = stored(pairs, f"{where}/pairs")
-    forget(spark, f"{where}/survey")
+    del counted, pairs
+    for name in ("survey", "candidates", "needed"):
+        forget(spark, f"{where}/{name}")
+    release(spark)
     return JaccardJoin(out, members.select("doc_id", "representative", "n_rows"))
 
 
@@ -283,6 +288,7 @@ def _count(docs: DataFrame, candidates: DataFrame, params: JaccardParams, where:
     pairs = candidates.join(root, "set_b")
     sets = pairs.select(F.col("set_a").alias("signature"), "root", F.col("size_a").alias("size"), F.col("doc_a").alias("doc_id")).union(pairs.select("set_b", "root", "size_b", "doc_b")).distinct()
     needed = stored(sets, f"{where}/needed")
+    release(spark)
     total, n_docs = needed.agg(F.sum("size"), F.count_distinct("doc_id")).first()
     buckets = max(1, -(-int(total or 0) // params.fragment_grams))
     bucket = F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket")
