@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -14,8 +15,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import SharedArrays
 
+
+def listed(text: str) -> tuple[str, ...]:
+    """The entries of a list file: one a line, without empty lines and those that begin with #."""
+    return tuple(e for e in map(str.strip, text.splitlines()) if e and not e.startswith("#"))
+
+
 #: Hosts, which stand for their subdomains too, and host/path prefixes.
-BLOCKLIST = ("cheap-pills.example.com", "spam-farm.example.org", "casino-bonus.example.net", "free-downloads.example.com/get", "ththre.example.com/fr")
+BLOCKLIST = listed(resources.files("lodestone.llm").joinpath("blocklist.txt").read_text("utf-8"))
 
 
 @dataclass(frozen=True)

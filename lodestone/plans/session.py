@@ -14,14 +14,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the Python workers once an application, so that it need not be installed there."""
+    """Send this package's source and lists to the Python workers once an application, so that it need not be installed there."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
     fd, name = tempfile.mkstemp(prefix="lodestone-", suffix=".zip")
     with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(name)
     _SHIPPED.add(app)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodestone.llm.url_filter import DigestArray, UrlParams, filter_urls, normal
+from lodestone.llm.url_filter import DigestArray, UrlParams, filter_urls, listed, normal
 
 SCHEMA = "page_id long, url string"
 ENTRIES = ("Bad.Example.com", "https://ok.example.com/ads/", "evil.org", "", None, "evil.org", "a.b.co/x/y")
@@ -33,3 +33,15 @@ def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     assert filter_urls(spark.createDataFrame([(1, "http://a.b/")], SCHEMA), ()).collect()[0]["blocked"] is False
     assert normal("  HTTP://A.b/c/?q#f ") == "a.b/c"
+
+
+def test_shipped_list(spark):
+    sites = [f"{s}.example.{d}" for s in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for d in ("com", "net", "org")]
+    fine = ["http://ththre.example.com/fr/825?page=2", "http://cheap-pills.example.edu/", "http://mycheap-pills.example.com/"]
+    urls = [f"https://{w}{s}/en/1" for s in sites for w in ("", "m.", "www.")] + fine
+    got = {r["url"]: r["entry"] for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), SCHEMA)).collect()}
+    assert got == {f"https://{w}{s}/en/1": s for s in sites for w in ("", "m.", "www.")} | dict.fromkeys(fine)
+
+
+def test_list_file():
+    assert listed("# a list\n\n  bad.org \nok.com/ads\n#bad.net\n") == ("bad.org", "ok.com/ads")
