@@ -16,7 +16,7 @@ from lodestone.llm.mixing import count_tokens
 
 @dataclass(frozen=True)
 class PackParams:
-    """``window`` tokens at most; ``bucket`` pieces at most are balanced against each other."""
+    """``window`` tokens at most; ``bucket`` pieces on average, fewer than twice as many always, are balanced against each other."""
 
     window: int = 4096
     bucket: int = 512
@@ -77,9 +77,10 @@ def pack_documents(docs: DataFrame, params: PackParams = PackParams()) -> DataFr
     """One row for each piece of a document: doc_id, copy, piece, start_token, n_tokens, bucket, window (in its bucket),
     window_tokens.
 
-    A text longer than a window is cut into whole windows, which stay alone, and a rest. Texts without tokens (null, empty)
-    have no piece. Rows that repeat a doc_id are packed each, numbered by copy; null ids are packed like any other. Equal
-    sizes are taken in order of doc_id. An empty table gives no rows; other columns are ignored.
+    A text longer than a window is cut into whole windows, which stay alone, and a rest. The rests of a bucket are balanced
+    against each other; those of a bucket of twice ``bucket`` or more (rows that share ids) in groups of like sizes. Texts
+    without tokens (null, empty) have no piece. Rows that repeat a doc_id are packed each, numbered by copy; null ids are
+    packed like any other. Equal sizes are taken in order of doc_id. An empty table gives no rows; other columns are ignored.
     """
     where = shared_dir(docs.sparkSession)
     w = params.window
@@ -102,9 +103,10 @@ def pack_documents(docs: DataFrame, params: PackParams = PackParams()) -> DataFr
                 rows.append((i, p, w, at, w))
                 at += 1
         open_ = np.flatnonzero(rest)
-        for lo in range(0, len(open_), limit):
-            own = open_[lo : lo + limit]
-            own = own[np.argsort(-rest[own], kind="stable")]
+        open_ = open_[np.argsort(-rest[open_], kind="stable")]
+        groups = max(1, len(open_) // limit)  # more than one only where many rows share ids; dealt by size, they are alike
+        for g in range(groups):
+            own = open_[g::groups]
             sizes = [int(x) for x in rest[own]]
             for part in pack(sizes, w):
                 filled = sum(sizes[j] for j in part)

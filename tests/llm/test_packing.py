@@ -75,6 +75,19 @@ def test_windows_are_nearly_equal():
     assert max(sums) - min(sums) < 40
 
 
+@pytest.mark.parametrize(("nulls", "most", "spread"), [(0, 1023, 64), (1100, 5000, 200)])
+def test_windows_of_full_buckets_are_nearly_equal(spark, nulls, most, spread):
+    r = random.Random(4)
+    rows = [(None if i < nulls else i, "w " * r.randint(20, 700), "aa", "s", 1) for i in range(4096)]
+    pieces, sums = {}, {}
+    for p in pack_documents(documents(spark, rows)).collect():
+        pieces[p["bucket"]] = pieces.get(p["bucket"], 0) + 1
+        sums.setdefault(p["bucket"], []).append(p["window_tokens"])
+    assert sum(pieces.values()) == len(rows) and sum(n > 512 for n in pieces.values()) >= (1 if nulls else 2)
+    assert (max(pieces.values()) > 1023) == (nulls > 0) and max(pieces.values()) <= most
+    assert max(max(v) - min(v) for v in sums.values()) < spread
+
+
 def test_empty(spark):
     assert pack_documents(documents(spark)).count() == 0
     assert pack_documents(documents(spark, [(1, None, None, None, None), (2, "", None, None, None)])).count() == 0
