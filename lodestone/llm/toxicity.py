@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import U, chunks, lower_bytes, span_hashes, words
 
-PREFIX = 6
+PREFIXES = (4, 6)
 _END = np.zeros(256, dtype=bool)
 _END[[*map(ord, ".!?\n")]] = True
 
@@ -20,11 +21,12 @@ _END[[*map(ord, ".!?\n")]] = True
 @dataclass(frozen=True)
 class ToxicityParams:
     """``train_rows`` bounds the labelled documents fitted on, half of them toxic if there are enough. A feature
-    that fewer than ``min_toxic`` toxic ones have marks nothing."""
+    marks nothing that fewer toxic ones have than a share of ``toxic_share`` of them, 2 at least and ``min_toxic`` at most."""
 
     train_rows: int = 8000
     buckets: int = 1 << 18
     min_toxic: int = 5
+    toxic_share: float = 0.015
     steps: int = 60
     rate: float = 0.5
     sparsity: float = 0.002
@@ -39,11 +41,11 @@ class ToxicityModel:
 
 
 def _sentences(b: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """Two features a word (itself and its first ``PREFIX`` bytes), each sentence's first word and its row, word starts and ends."""
+    """Three features a word (itself and its beginnings of ``PREFIXES`` bytes), each sentence's first word and its row, word starts and ends."""
     low = lower_bytes(b)
     starts, ends, at = words(low, offsets)
-    stem = span_hashes(low, starts, np.minimum(ends, starts + PREFIX)) ^ U(0x9E3779B97F4A7C15)
-    f = (np.stack([span_hashes(low, starts, ends), stem], axis=1) & U(buckets - 1)).astype(np.int64)
+    stems = [span_hashes(low, starts, np.minimum(ends, starts + n)) ^ U(0x9E3779B97F4A7C15 + n - 6) for n in PREFIXES]
+    f = (np.stack([span_hashes(low, starts, ends), *stems], axis=1) & U(buckets - 1)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     mark = np.cumsum(_END[b])[starts] if len(starts) else np.zeros(0, np.int64)
     new = np.ones(len(starts), dtype=bool)
@@ -62,24 +64,21 @@ def fit_toxicity(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, param
     if not len(y) or y.min() == y.max():
         return none
     sizes = np.array([len(f) for f, _ in docs])
-    features = np.concatenate([f for f, _ in docs])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     first = np.concatenate([s + o for (_, s), o in zip(docs, base, strict=True)])
     doc = np.repeat(np.arange(len(docs)), [len(s) for _, s in docs])
-    pair = np.unique(features * len(docs) + np.repeat(np.arange(len(docs)), sizes))
-    in_doc, of_doc = pair // len(docs), pair % len(docs)
-    pos = np.bincount(in_doc, y[of_doc], params.buckets)
-    neg = np.bincount(in_doc, 1 - y[of_doc], params.buckets)
+    pos, neg = np.zeros(params.buckets), np.zeros(params.buckets)
+    for (f, _), toxic in zip(docs, y, strict=True):
+        (pos if toxic else neg)[np.unique(f)] += 1
     # log odds, less 1.64 standard errors: what few documents have, or clean ones have as well, can't mark a sentence
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1)) - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    usable = (pos >= params.min_toxic) & (odds > 1)
-    features = np.unique(features, return_inverse=True)
-    ids, at = features
-    ok = usable[ids]
-    kept = np.flatnonzero(ok[at])
-    at = at[kept]
+    least = min(params.min_toxic, max(2, math.ceil(params.toxic_share * y.sum())))
+    usable = (pos >= least) & (odds > 1)
+    own = [np.flatnonzero(usable[f]) for f, _ in docs]
+    kept = np.concatenate([k + o for k, o in zip(own, base, strict=True)])
+    ids, at = np.unique(np.concatenate([f[k] for (f, _), k in zip(docs, own, strict=True)]), return_inverse=True)
     sentence = (np.searchsorted(first, kept, side="right") - 1).astype(np.int64)
-    v = np.where(ok, np.clip(odds[ids], 0, 6), 0.0)
+    v = np.clip(odds[ids], 0, 6)
     bias, bias_sum, squares = -6.0, 1e-6, np.full(len(ids), 1e-6)
     n, share = len(first), 1 / len(docs)
     for _ in range(params.steps):
@@ -91,7 +90,7 @@ def fit_toxicity(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, param
         g = np.bincount(at, gz[sentence], len(ids))
         squares += g * g
         step = params.rate / np.sqrt(squares)
-        v = np.maximum(v - step * (g + params.sparsity * share), 0) * ok
+        v = np.maximum(v - step * (g + params.sparsity * share), 0)
         bias_sum += gz.sum() ** 2
         bias = min(bias - params.rate * gz.sum() / np.sqrt(bias_sum), -6.0)
     w[ids] = v
@@ -117,11 +116,11 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, params: ToxicityPar
                 word_at = np.searchsorted(np.repeat(row, np.diff(np.append(first, len(f)))), np.arange(hi - lo + 1))
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 fs = [f[word_at[i] : word_at[i + 1]].ravel().astype("<i4").tobytes() for i in range(hi - lo)]
-                ss = [(2 * (first[at[i] : at[i + 1]] - word_at[i])).astype("<i4").tobytes() for i in range(hi - lo)]
+                ss = [((1 + len(PREFIXES)) * (first[at[i] : at[i + 1]] - word_at[i])).astype("<i4").tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("_y")[lo:hi], pa.array(fs, pa.binary()), pa.array(ss, pa.binary())], names=["doc_id", "_y", "f", "s"])
 
     found = rows.mapInArrow(cut, "doc_id long, _y int, f binary, s binary").toPandas().sort_values(["doc_id", "f"])
-    read = [(np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(s, "<i4").astype(np.int64)) for f, s in zip(found["f"], found["s"], strict=True)]
+    read = [(np.frombuffer(f, "<i4"), np.frombuffer(s, "<i4")) for f, s in zip(found["f"], found["s"], strict=True)]
     return fit_toxicity(read, found["_y"].to_numpy(float), params)
 
 

@@ -46,6 +46,25 @@ def test_noisy_or(spark):
     assert model.weights[3] > 1 and model.weights[1] == model.weights[2] == 0
 
 
+def test_evidence_scales_with_the_toxic_rows():
+    def weight(toxic, having):
+        docs = [(np.array([1, 3] if i < having else [1, 2]), np.array([0])) for i in range(toxic * 10)]
+        return fit_toxicity(docs, np.array([1.0] * toxic + [0.0] * toxic * 9), ToxicityParams(buckets=8)).weights[3]
+
+    assert weight(4, 4) > 1 and weight(400, 4) == 0 and weight(400, 80) > 1
+
+
+def test_rare_words_share_a_beginning(spark):
+    rows, labels, _ = corpus(80, 5)
+    rows = [r for r in rows if r[0] % 4]
+    labels = [x for x in labels if x[0] % 4]
+    ends = ["banol", "curem", "dosit", "fanur", "gelor", "hirum"]
+    bad = [(1000 + i, f"{rows[i][1]} Vile{e}.", "aa", "s", 1) for i, e in enumerate(ends)]
+    model = train_toxicity_model(documents(spark, rows + bad), spark.createDataFrame(labels + [(r[0], 1, 1) for r in bad], "doc_id long, quality int, toxic int"))
+    new = documents(spark, [(1, "All is well. So vilekamor it is.", "aa", "s", 1), (2, "All is well. So it is.", "aa", "s", 1)])
+    assert [(r["doc_id"], r["sentence_no"]) for r in find_toxic(new, model).collect()] == [(1, 1)]
+
+
 def test_awkward(spark):
     rows, labels, _ = corpus(200, 3)
     table = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None), (7, 0, 9), (99999, 0, 1)], "doc_id long, quality int, toxic int").selectExpr("*", "'t' as text", "1 as _y")
