@@ -211,20 +211,21 @@ def overlaps(docs: np.ndarray, grams: list[np.ndarray], a: np.ndarray, b: np.nda
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """``pairs`` of representatives (doc_a < doc_b, similarity); ``members``: every document with its representative, the
-    smallest id that has the same set of grams, and how many rows have the id."""
+    """``pairs`` of representatives (doc_a < doc_b, similarity), or of signatures (set_a, set_b); ``members``: every document
+    with its signature, its representative, the smallest id that has the same set of grams, and how many rows have both."""
 
     pairs: DataFrame
     members: DataFrame
 
 
-def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> JaccardJoin:
+def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), by_set: bool = False) -> JaccardJoin:
     """All pairs of distinct gram sets at or above the threshold.
 
     Sets that are equal meet once, as the smallest doc_id that has them, so that thousands of copies cost no pairs. Rows
     without doc_id and texts without words (null, empty, symbols only) take no part. Rows that repeat an id with the same
     text are one document; with several texts an id is compared by each of them. An empty table gives no rows; other
-    columns are ignored; texts are read whole. Equal 63-bit signatures are taken for equal sets.
+    columns are ignored; texts are read whole. Equal 63-bit signatures are taken for equal sets. With ``by_set`` the pairs name
+    sets, those of one id's texts too.
     """
     spark = docs.sparkSession
     where = shared_dir(spark)
@@ -261,21 +262,22 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Ja
     name = first.select(F.col("signature"), "representative", "size")
     pair = shared.join(name.toDF("a", "ra", "sa"), "a").join(name.toDF("b", "rb", "sb"), "b")
     lower = F.col("ra") < F.col("rb")
-    flat = pair.filter("ra <> rb").select(*(F.when(lower, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("ra", "rb", "doc_a"), ("rb", "ra", "doc_b"), ("a", "b", "set_a"), ("b", "a", "set_b"), ("sa", "sb", "size_a"), ("sb", "sa", "size_b"))))
+    flat = (pair if by_set else pair.filter("ra <> rb")).select(*(F.when(lower, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("ra", "rb", "doc_a"), ("rb", "ra", "doc_b"), ("a", "b", "set_a"), ("b", "a", "set_b"), ("sa", "sb", "size_a"), ("sb", "sa", "size_b"))))
     candidates = stored(flat, f"{where}/candidates")
     del shared, pair, flat
     release(spark)
     counted = _count(docs, candidates, params, where)
     inter = F.col("shared")
     similarity = inter / (F.col("size_a") + F.col("size_b") - inter)
-    pairs = candidates.join(counted, ["set_a", "set_b"]).select("doc_a", "doc_b", similarity.alias("similarity")).filter(F.col("similarity") >= params.threshold - 1e-12)
-    pairs = pairs.groupBy("doc_a", "doc_b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    ends = ("set_a", "set_b") if by_set else ("doc_a", "doc_b")
+    pairs = candidates.join(counted, ["set_a", "set_b"]).select(*ends, similarity.alias("similarity")).filter(F.col("similarity") >= params.threshold - 1e-12)
+    pairs = pairs.groupBy(*ends).agg(F.round(F.max("similarity"), 6).alias("similarity"))
     out = stored(pairs, f"{where}/pairs")
     del counted, pairs
     for name in ("survey", "candidates", "needed"):
         forget(spark, f"{where}/{name}")
     release(spark)
-    return JaccardJoin(out, members.select("doc_id", "representative", "n_rows"))
+    return JaccardJoin(out, members.select("doc_id", "signature", "representative", "n_rows"))
 
 
 def _count(docs: DataFrame, candidates: DataFrame, params: JaccardParams, where: str) -> DataFrame:
@@ -357,17 +359,30 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     """``docs`` with one document of each group, the one of smallest id, and all that are in none, with all columns.
 
     A group is what similar pairs and equal sets connect. Rows without doc_id, and without words, stay. Of rows that repeat
-    an id one stays.
+    an id each goes or stays by its own text: one stays of equal sets, all whose texts are in no group.
     """
-    found = jaccard_join(docs, params)
-    edges = found.pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(found.members.filter("doc_id <> representative").select("representative", "doc_id"))
-    gone = components(edges).filter("node <> component").select(F.col("node").alias("_gone"))
+    where = shared_dir(docs.sparkSession)
+    found = jaccard_join(docs, params, by_set=True)
+    group = components(found.pairs.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))).withColumnRenamed("node", "signature")
+    named = found.members.join(group, "signature", "left").select("doc_id", "signature", F.coalesce("component", "signature").alias("_group"))
+    first = named.groupBy("_group").agg(F.min(F.struct("doc_id", "signature")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    gone = stored(named.join(first, "_group").filter(F.struct("doc_id", "signature") != F.col("_first")).select(F.col("doc_id").alias("_gone"), F.col("signature").alias("_set")), f"{where}/gone")
     rows = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
-    out = _without(rows, gone, "left_anti", params) or rows
-    again = found.members.groupBy("doc_id").agg(F.sum("n_rows").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_gone"))
-    once = _without(out, again, "left_anti", params)
+    again = stored(rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("id").alias("_gone")), f"{where}/again")
+    once = _without(rows, again, "left_anti", params)
+    out = rows if once is None else once
+    out = _without(out, gone.select("_gone"), "left_anti", params) or out
     if once is not None:
-        out = once.unionByName(_without(out, again, "left_semi", params).dropDuplicates(["id"]))
+
+        @F.pandas_udf("long")
+        def own_set(text: pd.Series) -> pd.Series:
+            held = [pd.Series(signatures(g, at), dtype="Int64").where(np.diff(at) > 0) for _, _, g, at in gram_sets(pa.array(text, pa.string(), from_pandas=True), params.n)]
+            return pd.concat(held, ignore_index=True) if held else pd.Series([], dtype="Int64")
+
+        many = _without(rows, again, "left_semi", params).withColumn("own", own_set("row.text"))
+        few = gone.join(again, "_gone", "left_semi")
+        left = many.filter("own is not null").join(few, (F.col("id") == F.col("_gone")) & (F.col("own") == F.col("_set")), "left_anti").dropDuplicates(["id", "own"])
+        out = out.unionByName(left.drop("own")).unionByName(many.filter("own is null").drop("own"))
     return unpacked(out, docs)
 
 

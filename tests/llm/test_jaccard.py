@@ -99,6 +99,17 @@ def test_keep_one(spark, params):
     assert sorted(x for x in got if x is not None) == want and got.count(None) == 1
 
 
+@pytest.mark.parametrize("params", [JaccardParams(), JaccardParams(broadcast_ids=0)])
+def test_texts_that_share_an_id_go_one_by_one(spark, params):
+    a, b, c, d, e = prose("aa", 5, 21, 60, 80)
+    near = lambda t: t + " changed"
+    rows = [(1, a), (7, near(a)), (7, b), (7, c), (7, c), (7, None), (7, "!!"), (8, d), (8, near(d)), (9, e), (9, near(b)), (10, None), (None, a)]
+    got = keep_one(documents(spark, [(i, t, "aa", "s", 1) for i, t in rows]), params).collect()
+    kept = sorted(((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 8), key=repr)
+    assert kept == sorted([(1, a), (7, b), (7, c), (7, None), (7, "!!"), (9, e), (10, None), (None, a)], key=repr)
+    assert len([r for r in got if r["doc_id"] == 8]) == 1
+
+
 def test_empty(spark):
     assert near_duplicates(documents(spark)).count() == 0
     assert keep_one(documents(spark)).count() == 0
