@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 
 _WORD = np.zeros(256, dtype=bool)
@@ -31,7 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)  # a path without scheme is the default file system's
+    return f"{whole.toString().rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python ``rows`` at a time at most: a batch of the default size holds many MB, both in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give back to the system what a finished task of a Python worker held, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -68,10 +87,8 @@ def release(spark: SparkSession) -> None:
 
 
 def local_path(path: str) -> str | None:
-    """The plain path of a folder that is mounted, None for a remote file system."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return None if "://" in path else path
+    """The plain path of a qualified folder that is mounted, None for a remote file system."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else None
 
 
 class SharedArrays:

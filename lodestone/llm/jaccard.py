@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join by vertical partitioning of the global n-gram order, and groups of near duplicates."""
+"""Exact n-gram Jaccard join by vertical partitioning of the global n-gram order, and classes of near duplicates."""
 
 from __future__ import annotations
 
@@ -8,44 +8,53 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U, chunks, distinct_per_row, forget, lower_bytes, mix, packed, release, row_sums, shared_dir, shingles, span_hashes, stored, unpacked, words
+from lodestone.llm.common import SharedArrays, U, chunks, distinct_per_row, forget, mix, packed, release, row_sums, shared_dir, shingles, small_batches, span_hashes, stored, text_array, trim, unpacked, words
+
+SLOTS = 1 << 27
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     """Pairs of sets of ``n``-word grams with a Jaccard similarity of ``threshold`` or more.
 
-    Similar sets share ``witnesses`` grams of their prefixes, or all they must share if that is less; fewer make no candidate.
-    ``vertical`` fragments of the order are counted apart for each pair. ``fragment_grams`` sets how many grams one task holds.
+    ``vertical`` fragments of the gram order are counted apart for each pair. ``fragment_grams`` and ``block_grams`` set how
+    many grams a task holds, of prefixes and of whole sets; a component of more is compared block by block.
     ``popular`` and ``local_count`` bound the table that orders frequent grams last: it changes the cost, never the result.
-    ``broadcast_ids`` is the size up to which ids are sent to all tasks; beyond it they are joined.
     """
 
     n: int = 3
     threshold: float = 0.5
-    witnesses: int = 3
     vertical: int = 4
     fragment_grams: int = 1_000_000
+    block_grams: int = 500_000
     popular: int = 1 << 19
     local_count: int = 4
-    broadcast_ids: int = 2_000_000
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
-        """How many of a set's first grams include ``witnesses`` of any similar set's first grams."""
-        return np.minimum(size, size - np.ceil(self.threshold * size - 1e-9).astype(np.int64) + self.witnesses)
+        """How many of a set's first grams include one of any similar set's first grams."""
+        return np.minimum(size, size - np.ceil(self.threshold * size - 1e-9).astype(np.int64) + 1)
 
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The least overlap of sets of these sizes that is similar."""
         return np.ceil(self.threshold / (1 + self.threshold) * (a + b) - 1e-9)
 
+    @property
+    def reach(self) -> int:
+        """How far apart the size levels of similar sets can be."""
+        return int(np.ceil(8 * np.log2(1 / self.threshold))) + 1
+
+
+def size_level(size: np.ndarray) -> np.ndarray:
+    return np.floor(8 * np.log2(np.maximum(size, 1))).astype(np.uint8)
+
 
 def gram_sets(column, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows: first and end row, sorted distinct gram hashes, row offsets. Words are lower case; texts of fewer than n words have one gram."""
-    for lo, hi, b, offsets in chunks(column):
-        low = lower_bytes(b)
+    for lo, hi, low, offsets in chunks(pc.utf8_lower(text_array(column))):
         starts, ends, at = words(low, offsets)
         yield lo, hi, *distinct_per_row(*shingles(span_hashes(low, starts, ends), at, n))
 
@@ -57,8 +66,24 @@ def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (mix(one ^ mix(two + np.diff(offsets).astype(np.uint64))) >> U(1)).astype(np.int64)
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that edges a, b connect each of n nodes to."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        label = new
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
 def _survey(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """kind 0: a document (a), its signature (b) and size (n). kind 1: a gram (a) that n documents near each other share."""
+    """kind 0: a document (a), its signature (b) and size (n), 0 without words. kind 1: a gram (a) that n documents near each other share."""
 
     def popular(held: list) -> pa.RecordBatch:
         g = np.sort(np.concatenate(held))
@@ -71,16 +96,15 @@ def _survey(docs: DataFrame, params: JaccardParams) -> DataFrame:
         held, total = [], 0
         for batch in batches:
             for lo, hi, g, at in gram_sets(batch.column("text"), params.n):
-                size = np.diff(at)
-                some = np.flatnonzero(size > 0)
-                yield _batch(0, batch.column("doc_id")[lo:hi].take(pa.array(some)), signatures(g, at)[some], size[some])
+                yield _batch(0, batch.column("doc_id")[lo:hi], signatures(g, at), np.diff(at))
                 held.append(g)
                 total += len(g)
-                if total > 1 << 22:
+                if total > 1 << 20:
                     yield popular(held)
                     held, total = [], 0
         if total:
             yield popular(held)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "kind int, a long, b long, n long")
 
@@ -90,12 +114,9 @@ def _batch(kind: int, a, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "n"])
 
 
-def _small(a: np.ndarray) -> np.ndarray:
-    return a.astype("<u2" if not len(a) or a.max() < 1 << 16 else "<u4")
-
-
-def _levels(g: np.ndarray, often: np.ndarray, level: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+def _levels(g: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
     """The first part of a gram's place in the global order: 0 for rare grams, then the bit length of its count; the hash is the second."""
+    often, level, coarse = order
     out = np.zeros(len(g), np.uint8)
     maybe = np.flatnonzero(coarse[(g >> U(44)).astype(np.int64)])
     if len(maybe):
@@ -105,134 +126,228 @@ def _levels(g: np.ndarray, often: np.ndarray, level: np.ndarray, coarse: np.ndar
     return out
 
 
-def _prefixes(docs: DataFrame, params: JaccardParams, fragments: int, cast) -> DataFrame:
-    """Blocks of prefix grams by fragment: each gram with its set's signature, size and the gram's place in the set."""
+def _squeeze(x: np.ndarray) -> bytes:
+    """Ascending integers as the compressed byte planes of their differences."""
+    d = np.diff(x, prepend=U(0)).astype("<u8")
+    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
+
+_LINKS = "fragment int, n int, grams binary, sets binary, rows binary, low binary, wide binary, edges binary"
+
+
+def _blocks(held: list, fragments: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Prefix grams by fragment, each with one of the sets that have it here and the range of their size levels.
+
+    Sets that share a gram here, of sizes that can be similar, are linked at once, and only their first one goes on with it.
+    """
+    g, sig, level = (np.concatenate(x) for x in zip(*held, strict=True))
+    sets, row = np.unique(sig, return_inverse=True)
+    o = np.lexsort((level, g))
+    g, row, level = g[o], row[o].astype(np.int64), level[o]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (level[1:].astype(np.int16) > level[:-1].astype(np.int16) + reach)
+    again = np.flatnonzero(~new)
+    root = roots(len(sets), row[again - 1], row[again])
+    linked = np.flatnonzero(root != np.arange(len(sets)))
+    first = np.flatnonzero(new)
+    g, row, low, high = g[first], row[first], level[first], level[np.append(first[1:], len(level)) - 1]
+    cut = np.searchsorted(((g >> U(24)) * U(fragments) >> U(32)).astype(np.int64), np.arange(fragments + 1))
+    out: list[tuple] = []
+    if len(linked):
+        edges = np.stack([sets[linked], sets[root[linked]]]).astype("<i8").tobytes()
+        out.append((int(sets[0] % fragments), 0, b"", b"", b"", b"", b"", edges))
+    for k in np.flatnonzero(np.diff(cut)):
+        s = slice(cut[k], cut[k + 1])
+        own, code = np.unique(row[s], return_inverse=True)
+        out.append((int(k), len(code), _squeeze(g[s]), sets[own].astype("<i8").tobytes(), code.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes(), low[s].tobytes(), (high[s] - low[s]).tobytes(), b""))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _LINKS.split(", ")])
+
+
+def _prefixes(docs: DataFrame, params: JaccardParams, fragments: int, cast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, level, coarse = cast.value
+        held, total = [], 0
         for batch in batches:
-            for _, hi_row, g, at in gram_sets(batch.column("text"), params.n):
+            for _, _, g, at in gram_sets(batch.column("text"), params.n):
                 size = np.diff(at)
                 if not len(g):
                     continue
                 sig = signatures(g, at)
-                _, pick = np.unique(sig, return_index=True)
-                pick = np.sort(pick[size[pick] > 0])
-                mask = np.zeros(len(size), bool)
-                mask[pick] = True
+                pick = np.zeros(len(size), bool)
+                pick[np.unique(sig, return_index=True)[1]] = True
                 row = np.repeat(np.arange(len(size)), size)
-                order = np.argsort(row * 64 + _levels(g, often, level, coarse), kind="stable")
+                order = np.argsort(row * 64 + _levels(g, cast.value), kind="stable")
                 place = np.arange(len(g)) - np.repeat(at[:-1], size)
-                use = (place < np.repeat(params.prefix(size), size)) & mask[row]
-                pg, pr, pp = g[order][use], row[use], place[use]
-                f = ((pg >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
-                o = np.argsort(f, kind="stable")
-                cut = np.searchsorted(f[o], np.arange(fragments + 1))
-                sizes, dense = size[pick], np.cumsum(mask) - 1
-                for k in np.flatnonzero(np.diff(cut)):
-                    s = o[cut[k] : cut[k + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(k)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (pg[s].astype("<u8"), sig[pick].astype("<i8"), sizes.astype("<u4"))), *(pa.array([x.tobytes()], pa.binary()) for x in (_small(dense[pr[s]]), _small(pp[s])))],
-                        names=["fragment", "grams", "signatures", "sizes", "rows", "places"],
-                    )
-
-    return docs.select("doc_id", "text").filter("doc_id is not null").select("text").mapInArrow(run, "fragment int, grams binary, signatures binary, sizes binary, rows binary, places binary")
-
-
-def _unpack(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4")
-
-
-def _summed(found: pd.DataFrame) -> pd.DataFrame:
-    return found.groupby(["a", "b", "need"], as_index=False, sort=False)["n"].sum()
-
-
-def candidate_pairs(grams: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray, params: JaccardParams, step: int = 1 << 19) -> Iterator[pd.DataFrame]:
-    """Pairs of signatures a, b that share n grams here, in places that still allow the threshold; ``need`` is how many they must share in all fragments."""
-    o = np.argsort(grams)
-    g = grams[o]
+                use = (place < np.repeat(params.prefix(size), size)) & pick[row]
+                held.append((g[order][use] >> U(8), sig[row[use]], size_level(size)[row[use]]))
+                total += int(use.sum())
+                if total > 1 << 20:
+                    yield from _blocks(held, fragments, params.reach)
+                    held, total = [], 0
+        if total:
+            yield from _blocks(held, fragments, params.reach)
+        trim()
+
+    return docs.select("doc_id", "text").filter("doc_id is not null").select("text").mapInArrow(run, _LINKS)
+
+
+def link(table: pa.Table, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each set of a fragment to the smallest one that it is linked to: by edges given, and by grams shared by sets of sizes that can be similar."""
+    gs, ss, lows, wides, edges = [], [], [], [], []
+    for r in table.to_pylist():
+        if r["n"]:
+            sets = np.frombuffer(r["sets"], "<i8")
+            gs.append(_unsqueeze(r["grams"], r["n"]))
+            ss.append(sets[np.frombuffer(r["rows"], "<u2" if len(r["rows"]) == 2 * r["n"] else "<u4")])
+            lows.append(np.frombuffer(r["low"], np.uint8))
+            wides.append(np.frombuffer(r["wide"], np.uint8))
+        else:
+            edges.append(np.frombuffer(r["edges"], "<i8").reshape(2, -1))
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    g, s, low, wide = join(gs, np.uint64), join(ss, np.int64), join(lows, np.uint8), join(wides, np.uint8)
+    given = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+    o = np.argsort(g)
     same = np.zeros(len(g) + 1, bool)
-    same[1:-1] = g[1:] == g[:-1]
+    same[1:-1] = g[o][1:] == g[o][:-1]
     o = o[same[1:] | same[:-1]]
-    o = o[np.lexsort((sig[o], size[o], grams[o]))]
-    keep = np.ones(len(o), bool)
-    keep[1:] = (grams[o][1:] != grams[o][:-1]) | (sig[o][1:] != sig[o][:-1])
-    o = o[keep]
-    g, sig, size, place = grams[o], sig[o], size[o].astype(np.int64), place[o].astype(np.int64)
-    gid = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    end = np.searchsorted(gid * (1 << 32) + size, gid * (1 << 32) + np.floor(size / params.threshold + 1e-9).astype(np.int64), side="right")
-    n = end - np.arange(len(g)) - 1
-    total = np.concatenate([[0], np.cumsum(n)])
+    o = o[np.lexsort((low[o], g[o]))]
+    g, s, low, high = g[o], s[o], low[o].astype(np.int64), low[o].astype(np.int64) + wide[o]
+    fresh = np.ones(len(g), bool)
+    fresh[1:] = g[1:] != g[:-1]
+    top = np.maximum.accumulate(np.cumsum(fresh) * 1024 + high) % 1024 if len(g) else high
+    k = np.flatnonzero(~fresh[1:] & (low[1:] <= top[:-1] + reach))
+    ids, code = np.unique(np.concatenate([s, given.ravel()]), return_inverse=True)
+    a, b = code[len(s) :].reshape(2, -1)
+    root = roots(len(ids), np.concatenate([code[: len(s)][k], a]), np.concatenate([code[: len(s)][k + 1], b]))
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def _expand(lists: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entry i with each of the entries after it up to ``ends[i]``."""
+    many = ends - lists - 1
+    i = np.repeat(lists, many)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def overlaps(grams: np.ndarray, at: np.ndarray, group: np.ndarray, level: np.ndarray, vertical: int, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs i < j of sets of one group that share n grams: i, j, n.
+
+    The order of the grams (level, then hash) is cut into ``vertical`` fragments; each counts its part of every pair, and the
+    parts are summed. Small groups are counted by their lists of sets a gram; in a large one the grams that many of its sets
+    have are counted by products of matrices.
+    """
+    size = np.diff(at)
+    m = len(size)
+    owner = np.repeat(np.arange(m), size)
+    o = np.lexsort((owner, grams, level, group[owner]))
+    g, who, of = grams[o], owner[o], group[owner[o]]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(g)))
+    keep = np.repeat(length > 1, length)
+    cost = np.repeat(length * (length - 1) // 2, length)
+    where = np.flatnonzero(keep)
+    # the order's fragments hold equal shares of what is shared here
+    rank = np.empty(len(g), np.int64)
+    by_order = np.lexsort((g, level[o]))
+    rank[by_order] = np.cumsum(keep[by_order]) * vertical // max(1, len(where) + 1)
+    head = np.zeros(len(g), np.int64)
+    head[first] = cost[first]
+    groups, begin = np.unique(of, return_index=True)
+    work = np.add.reduceat(head, begin) if len(begin) else np.zeros(0, np.int64)
+    finish = np.append(begin[1:], len(g))
+    end = np.repeat(np.append(first[1:], len(g)), length)
     lo = 0
-    while lo < len(g):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + step, side="right")) - 1)
-        for part in range(0, int(n[lo]), step) if hi == lo + 1 else (0,):  # one very long list is cut, too
-            many = np.array([min(step, n[lo] - part)]) if hi == lo + 1 else n[lo:hi]
-            i = np.repeat(np.arange(lo, hi), many)
-            j = i + 1 + part + np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-            # of the grams two similar sets share, the one in place w has overlap - w + 1 from there on
-            least = params.overlap(size[i], size[j])
-            ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= least - (params.witnesses - 1)
-            i, j, least = i[ok], j[ok], least[ok]
-            if len(i):
-                yield _summed(pd.DataFrame({"a": np.minimum(sig[i], sig[j]), "b": np.maximum(sig[i], sig[j]), "need": np.minimum(least, params.witnesses).astype(np.int32), "n": 1}))
+    while lo < len(groups):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(work[lo:]), step, side="right")))
+        inside = where[np.searchsorted(where, begin[lo]) : np.searchsorted(where, finish[hi - 1])]
+        if work[lo] > step:
+            yield from _dense(inside, g, who, rank, vertical, step)
+        elif len(inside):
+            keys, counts = [], []
+            for v in range(vertical):
+                own = inside[rank[inside] == v]
+                i, j = _expand(own, end[own])
+                key, n = np.unique(who[i] * np.int64(m) + who[j], return_counts=True)
+                keys.append(key)
+                counts.append(n)
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            yield key // m, key % m, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
         lo = hi
 
 
-def overlaps(docs: np.ndarray, grams: list[np.ndarray], a: np.ndarray, b: np.ndarray, step: int = 1 << 19) -> np.ndarray:
-    """Of each pair of documents (by id) how many of these grams they share."""
-    ids, where = np.unique(docs, return_index=True)
-    own = [grams[i] for i in where]
-    size = np.array([len(x) for x in own], dtype=np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    level, code = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_inverse=True)
-    place = np.repeat(np.arange(len(ids)), size) * len(level) + code
-    ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
-    flip = np.where((ia < len(ids)) & (ib < len(ids)), True, False)
-    ia, ib = np.minimum(ia, len(ids) - 1), np.minimum(ib, len(ids) - 1)
-    flip &= (ids[ia] == a) & (ids[ib] == b) if len(ids) else flip
-    out = np.zeros(len(a), np.int64)
-    todo = np.flatnonzero(flip)
-    small = size[ia[todo]] <= size[ib[todo]] if len(todo) else np.zeros(0, bool)
-    x, y = np.where(small, ia[todo], ib[todo]) if len(todo) else todo, np.where(small, ib[todo], ia[todo]) if len(todo) else todo
-    total = np.concatenate([[0], np.cumsum(size[x])]) if len(todo) else np.zeros(1, np.int64)
-    lo = 0
-    while lo < len(todo):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + step, side="right")) - 1)
-        n = size[x[lo:hi]]
-        owner = np.repeat(np.arange(hi - lo), n)
-        entry = at[x[lo:hi]][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        want = y[lo:hi][owner] * len(level) + code[entry]
-        i = np.minimum(np.searchsorted(place, want), max(len(place) - 1, 0))
-        out[todo[lo:hi]] = np.bincount(owner[place[i] == want] if len(place) else owner[:0], minlength=hi - lo)
-        lo = hi
-    return out
+def _dense(inside: np.ndarray, g: np.ndarray, who: np.ndarray, rank: np.ndarray, vertical: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of one large group, some of its sets with all of them at a time."""
+    ids, row = np.unique(who[inside], return_inverse=True)
+    code = np.cumsum(np.concatenate([[0], g[inside][1:] != g[inside][:-1]]))
+    first = np.searchsorted(code, np.arange(code[-1] + 1))
+    length = np.diff(np.append(first, len(code)))
+    m, fragment = len(ids), rank[inside][first]
+    often = length >= max(16, m // 32)
+    wide = max(1, 4 * step // m)
+    for lo in range(0, m, wide):
+        hi = min(m, lo + wide)
+        total = np.zeros((hi - lo, m), np.float32)
+        for v in range(vertical):
+            some = np.flatnonzero(often & (fragment == v))
+            for k in range(0, len(some), wide):
+                part = some[k : k + wide]
+                x = np.zeros((m, len(part)), np.float32)
+                entry = np.repeat(first[part], length[part]) + np.arange(length[part].sum()) - np.repeat(np.cumsum(length[part]) - length[part], length[part])
+                x[row[entry], np.repeat(np.arange(len(part)), length[part])] = 1
+                total += x[lo:hi] @ x.T
+            here = np.flatnonzero((row >= lo) & (row < hi) & ~often[code] & (fragment[code] == v))
+            many = length[code[here]]
+            sums = np.cumsum(many)
+            at = 0
+            while at < len(here):
+                to = max(at + 1, int(np.searchsorted(sums, sums[at] - many[at] + step, side="right")))
+                n = many[at:to]
+                i = np.repeat(here[at:to], n)
+                j = np.repeat(first[code[here[at:to]]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                total += np.bincount((row[i] - lo) * m + row[j], minlength=(hi - lo) * m).reshape(hi - lo, m).astype(np.float32)
+                at = to
+        i, j = np.nonzero(np.triu(total, lo + 1))
+        yield ids[i + lo], ids[j], total[i, j].astype(np.int64)
 
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """``pairs`` of representatives (doc_a < doc_b, similarity), or of signatures (set_a, set_b); ``members``: every document
-    with its signature, its representative, the smallest id that has the same set of grams, and how many rows have both."""
+    """``members``: every document with words, its set's signature and representative (the smallest id that has the set), and
+    the set's size. ``found``: of sets with similar ones their number (signature, links, class), or all similar pairs of sets
+    (set_a < set_b, similarity). The class is its smallest signature. ``without``: the ids of texts without words."""
 
-    pairs: DataFrame
     members: DataFrame
+    found: DataFrame
+    without: DataFrame
 
 
-def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), by_set: bool = False) -> JaccardJoin:
-    """All pairs of distinct gram sets at or above the threshold.
+def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), pairs: bool = False) -> JaccardJoin:
+    """All similar pairs of distinct gram sets, or what they come to for each set.
 
-    Sets that are equal meet once, as the smallest doc_id that has them, so that thousands of copies cost no pairs. Rows
-    without doc_id and texts without words (null, empty, symbols only) take no part. Rows that repeat an id with the same
-    text are one document; with several texts an id is compared by each of them. An empty table gives no rows; other
-    columns are ignored; texts are read whole. Equal 63-bit signatures are taken for equal sets. With ``by_set`` the pairs name
-    sets, those of one id's texts too.
+    Sets that are equal meet once, as the smallest doc_id that has them, so that copies cost no pairs. Sets that share a gram
+    of their prefixes are linked, one link a set and place, never a pair for each; what links connect is a component, whose
+    sets are read together and compared exactly. A component of over ``block_grams`` grams is cut into blocks by a hash, and
+    each pair of blocks is a task. Rows without doc_id take no part. Rows that repeat an id are compared each, with the same
+    text once. An empty table gives no rows; other columns are ignored; texts are read whole. Equal 63-bit signatures are
+    taken for equal sets, equal 64-bit hashes for equal grams.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     where = shared_dir(spark)
     survey = stored(_survey(docs, params), f"{where}/survey")
-    sets = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("signature"), F.col("n").alias("size"))
+    every = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("signature"), F.col("n").alias("size"))
+    without = every.filter("size = 0").select("doc_id").distinct()
+    sets = every.filter("size > 0")
     first = sets.groupBy("signature").agg(F.min("doc_id").alias("representative"), F.first("size").alias("size"))
-    members = stored(sets.groupBy("signature", "doc_id").agg(F.count("*").alias("n_rows"), F.first("size").alias("size")).join(first.drop("size"), "signature"), f"{where}/members")
+    members = stored(sets.select("signature", "doc_id").distinct().join(first, "signature").select("doc_id", "signature", "representative", "size"), f"{where}/members")
     often = survey.filter("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(params.popular).toPandas()
     keys = often["gram"].to_numpy(np.int64).view(np.uint64)
     o = np.argsort(keys)
@@ -240,98 +355,136 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), by_se
     coarse = np.zeros(1 << 20, bool)
     coarse[(keys >> U(44)).astype(np.int64)] = True
     cast = spark.sparkContext.broadcast((keys, level, coarse))
-    total = sets.agg(F.sum(F.col("size") - F.ceil(F.col("size") * params.threshold - 1e-9) + params.witnesses)).first()[0] or 0
+    total = sets.agg(F.sum(F.col("size") - F.ceil(F.col("size") * params.threshold - 1e-9) + 1)).first()[0] or 0
     fragments = max(1, -(-int(total) // params.fragment_grams))
+    reach = params.reach
+
+    def join(table: pa.Table) -> pa.Table:
+        a, b = link(table, reach)
+        trim()
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(x, "<u8") for x in pdf["grams"]]
-        rows = [_unpack(x, len(g)) for x, g in zip(pdf["rows"], grams, strict=True)]
-        sig = np.concatenate([np.frombuffer(x, "<i8")[r] for x, r in zip(pdf["signatures"], rows, strict=True)])
-        size = np.concatenate([np.frombuffer(x, "<u4")[r] for x, r in zip(pdf["sizes"], rows, strict=True)])
-        place = np.concatenate([_unpack(x, len(g)) for x, g in zip(pdf["places"], grams, strict=True)]).astype(np.uint32)
-        del rows, pdf
-        held = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "need": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})]
-        for x in candidate_pairs(np.concatenate(grams), sig, size, place, params):
-            held.append(x)
-            if sum(map(len, held)) > 1 << 20:
-                held = [_summed(pd.concat(held))]
-        return _summed(pd.concat(held))
-
-    shared = _prefixes(docs, params, fragments, cast).repartition(fragments, "fragment").groupBy("fragment").applyInPandas(join, "a long, b long, need int, n long")
-    shared = shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
-    name = first.select(F.col("signature"), "representative", "size")
-    pair = shared.join(name.toDF("a", "ra", "sa"), "a").join(name.toDF("b", "rb", "sb"), "b")
-    lower = F.col("ra") < F.col("rb")
-    flat = (pair if by_set else pair.filter("ra <> rb")).select(*(F.when(lower, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("ra", "rb", "doc_a"), ("rb", "ra", "doc_b"), ("a", "b", "set_a"), ("b", "a", "set_b"), ("sa", "sb", "size_a"), ("sb", "sa", "size_b"))))
-    candidates = stored(flat, f"{where}/candidates")
-    del shared, pair, flat
+    links = _prefixes(docs, params, fragments, cast).repartition(fragments, "fragment").groupBy("fragment").applyInArrow(join, "a long, b long")
+    links = stored(links.distinct(), f"{where}/links")
     release(spark)
-    counted = _count(docs, candidates, params, where)
-    inter = F.col("shared")
-    similarity = inter / (F.col("size_a") + F.col("size_b") - inter)
-    ends = ("set_a", "set_b") if by_set else ("doc_a", "doc_b")
-    pairs = candidates.join(counted, ["set_a", "set_b"]).select(*ends, similarity.alias("similarity")).filter(F.col("similarity") >= params.threshold - 1e-12)
-    pairs = pairs.groupBy(*ends).agg(F.round(F.max("similarity"), 6).alias("similarity"))
-    out = stored(pairs, f"{where}/pairs")
-    del counted, pairs
-    for name in ("survey", "candidates", "needed"):
-        forget(spark, f"{where}/{name}")
+    component = components(links)
+    needed = stored(component.select(F.col("node").alias("signature"), "component").join(members.filter("doc_id = representative").drop("doc_id"), "signature"), f"{where}/needed")
+    found = stored(_compare(docs, needed, params, cast, pairs, where), f"{where}/found")
+    if not pairs:
+        found = _classes(found, where)
+    forget(spark, f"{where}/links")
+    forget(spark, f"{where}/needed")
     release(spark)
-    return JaccardJoin(out, members.select("doc_id", "signature", "representative", "n_rows"))
+    return JaccardJoin(members, found, without)
 
 
-def _count(docs: DataFrame, candidates: DataFrame, params: JaccardParams, where: str) -> DataFrame:
-    """Overlaps of all candidates: each vertical fragment counts its part for each pair, then the parts are summed.
-
-    Pairs meet their sets in buckets of pairs whose sets have a common smallest neighbour, so that a set goes to few of them.
-    """
+def _compare(docs: DataFrame, needed: DataFrame, params: JaccardParams, cast, pairs: bool, where: str) -> DataFrame:
+    """What each component's, or pair of blocks', task finds: pairs; or sets with links here and the smallest set that similarity connects them to here."""
     spark = docs.sparkSession
-    root = candidates.groupBy("set_b").agg(F.min(F.least("set_a", "set_b")).alias("root"))
-    pairs = candidates.join(root, "set_b")
-    sets = pairs.select(F.col("set_a").alias("signature"), "root", F.col("size_a").alias("size"), F.col("doc_a").alias("doc_id")).union(pairs.select("set_b", "root", "size_b", "doc_b")).distinct()
-    needed = stored(sets, f"{where}/needed")
-    release(spark)
-    total, n_docs = needed.agg(F.sum("size"), F.count_distinct("doc_id")).first()
-    buckets = max(1, -(-int(total or 0) // params.fragment_grams))
-    bucket = F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket")
-    to = needed.select("signature", bucket).distinct()
-    ids = None
-    if n_docs <= params.broadcast_ids:
-        ids = spark.sparkContext.broadcast(np.sort(needed.select("doc_id").distinct().toPandas()["doc_id"].to_numpy(np.int64)))
-    vertical = params.vertical
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = needed.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, -(-int(total) // params.block_grams))
+    large = needed.groupBy("component").agg(F.ceil(F.sum("size") / params.block_grams).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = needed.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("signature"), "blocks").cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    placed = placed.select("signature", "component", "block", (F.col("blocks") > 1).alias("large"), task.alias("task"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    words_ = needed.select(F.col("representative").alias("id")).select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.uint64)
+    bits[words_["word"].to_numpy()] = words_["bits"].to_numpy().view(np.uint64)
+    shared = SharedArrays(spark, {"bits": bits})
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.load()["bits"], set()
         for batch in batches:
-            if ids is not None:
-                batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(), ids.value)))
-            for _, _, g, at in gram_sets(batch.column("text"), params.n):
-                sig, f = signatures(g, at), (g >> U(32)) * U(vertical) >> U(32)
-                key = np.repeat(np.arange(len(sig)), np.diff(at)) * vertical + f.astype(np.int64)
-                ends = np.searchsorted(key, np.arange(len(sig) * vertical + 1))
-                used = np.flatnonzero(np.diff(ends))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[used // vertical]), pa.array((used % vertical).astype(np.int32)), pa.array([g[ends[k] : ends[k + 1]].tobytes() for k in used], pa.binary())], names=["signature", "fragment", "grams"])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    left = source.mapInArrow(cut, "signature long, fragment int, grams binary").join(to, "signature")
-    right = pairs.select("set_a", "set_b", bucket, F.explode(F.sequence(F.lit(0), F.lit(vertical - 1))).alias("fragment"))
-
-    def partial(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(x, np.uint64) for x in sets["grams"]]
-        n = overlaps(sets["signature"].to_numpy(np.int64), grams, pairs["set_a"].to_numpy(np.int64), pairs["set_b"].to_numpy(np.int64))
-        return pd.DataFrame({"set_a": pairs["set_a"], "set_b": pairs["set_b"], "n": n})[n > 0]
-
-    parts = left.groupBy("bucket", "fragment").cogroup(right.groupBy("bucket", "fragment")).applyInPandas(partial, "set_a long, set_b long, n long")
-    return parts.groupBy("set_a", "set_b").agg(F.sum("n").alias("shared"))
+            at = batch.column("slot").to_numpy()
+            texts = batch.column("text").filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == U(1)))
+            for lo, hi, g, off in gram_sets(texts, params.n):
+                sig = signatures(g, off)
+                new = [k for k in np.flatnonzero(np.diff(off)).tolist() if not (sig[k] in seen or seen.add(sig[k]))]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[new]), texts[lo:hi].take(pa.array(new, pa.int64())).cast(pa.string())], names=["signature", "text"])
+        trim()
+
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null").select(slot.alias("slot"), "text")
+    rows = source.mapInArrow(sign, "signature long, text string").join(placed, "signature")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sig = table["signature"].to_numpy()
+        sig, pick = np.unique(sig, return_index=True)
+        table = table.take(pa.array(pick))
+        gs, sizes = [], []
+        for _, _, g, off in gram_sets(table["text"], params.n):
+            gs.append(g)
+            sizes.append(np.diff(off))
+        g, size = np.concatenate(gs), np.concatenate(sizes)
+        at = np.concatenate([[0], np.cumsum(size)])
+        group = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        block, across, large_ = table["block"].to_numpy(), table["i"][0].as_py() != table["j"][0].as_py(), table["large"][0].as_py()
+        del table, gs
+        links, root, out = np.zeros(len(sig), np.int64), np.arange(len(sig)), []
+        for i, j, n in overlaps(g, at, group, _levels(g, cast.value), params.vertical):
+            ok = n >= params.overlap(size[i], size[j])
+            if across:
+                ok &= block[i] != block[j]
+            i, j, n = i[ok], j[ok], n[ok]
+            if pairs:
+                out.append((sig[i], sig[j], n / (size[i] + size[j] - n)))
+            else:
+                links += np.bincount(i, minlength=len(sig)) + np.bincount(j, minlength=len(sig))
+                root = roots(len(sig), np.concatenate([np.arange(len(sig)), i]), np.concatenate([root, j]))
+        trim()
+        if pairs:
+            a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            return pa.table({"set_a": a, "set_b": b, "similarity": np.round(s, 6)})
+        some = np.flatnonzero(links)
+        return pa.table({"signature": sig[some], "links": links[some], "root": sig[root[some]], "large": np.full(len(some), large_)})
+
+    keys = ["large", "task", "i", "j"]
+    return rows.groupBy(*keys).applyInArrow(compare, "set_a long, set_b long, similarity double" if pairs else "signature long, links long, root long, large boolean")
+
+
+def _classes(found: DataFrame, where: str) -> DataFrame:
+    """signature, links, class: sums over the tasks of large components, whose classes may go on from task to task."""
+    done = found.filter("not large").select("signature", "links", F.col("root").alias("class"))
+    split = found.filter("large")
+    if split.isEmpty():
+        return done
+    group = components(split.select(F.col("signature").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("signature"), F.col("component").alias("class"))
+    return done.unionByName(split.groupBy("signature").agg(F.sum("links").alias("links")).join(group, "signature"))
+
+
+def near_classes(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """One row for each document: doc_id, class_id, n_links, n_copies.
+
+    ``n_links`` counts the other gram sets that are similar to the document's own, each one, however many documents have it;
+    ``n_copies`` counts the other ids that have the same set. A class is what similar and equal sets connect; its id is its
+    smallest doc_id. A document without words, and one like no other, is a class of its own. Rows that repeat an id with other
+    words are documents of their own; with the same words they are one. Rows without doc_id give no row.
+    """
+    found = jaccard_join(docs, params)
+    named = found.found.join(found.members.filter("doc_id = representative").select("signature", "representative"), "signature")
+    lowest = named.groupBy("class").agg(F.min("representative").alias("class_id"))
+    named = named.join(lowest, "class").select("signature", "links", "class_id")
+    copies = found.members.groupBy("signature").agg((F.count("*") - 1).alias("n_copies")).filter("n_copies > 0")
+    rows = found.members.join(named, "signature", "left").join(copies, "signature", "left")
+    none = F.lit(0).cast("long")
+    rows = rows.select("doc_id", F.coalesce("class_id", "representative").alias("class_id"), F.coalesce("links", none).alias("n_links"), F.coalesce("n_copies", none).alias("n_copies"))
+    return rows.unionByName(found.without.select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_a < doc_b, similarity: all similar pairs of representatives, and each other document with its representative (1.0).
 
-    A copy's other partners are its representative's, so the rows stand for all pairs without being quadratic in copies.
+    A copy's other partners are its representative's, so the rows stand for all pairs without being quadratic in copies. They
+    are quadratic in texts that are alike without being equal; ``near_classes`` isn't.
     """
-    found = jaccard_join(docs, params)
+    found = jaccard_join(docs, params, pairs=True)
+    name = found.members.filter("doc_id = representative").select("signature", "representative")
+    pair = found.found.join(name.toDF("set_a", "a"), "set_a").join(name.toDF("set_b", "b"), "set_b").filter("a <> b")
+    pair = pair.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "similarity")
     copies = found.members.filter("doc_id <> representative").select(F.col("representative").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
-    return found.pairs.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("similarity"))
+    return pair.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,37 +509,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """``docs`` with one document of each group, the one of smallest id, and all that are in none, with all columns.
+    """``docs`` with one document of each class, the one of smallest id, with all columns.
 
-    A group is what similar pairs and equal sets connect. Rows without doc_id, and without words, stay. Of rows that repeat
-    an id each goes or stays by its own text: one stays of equal sets, all whose texts are in no group.
+    Rows without doc_id, and without words, stay. Of rows that repeat an id each goes or stays by its own text: one stays of
+    equal sets, all whose texts are like no other.
     """
     where = shared_dir(docs.sparkSession)
-    found = jaccard_join(docs, params, by_set=True)
-    group = components(found.pairs.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))).withColumnRenamed("node", "signature")
-    named = found.members.join(group, "signature", "left").select("doc_id", "signature", F.coalesce("component", "signature").alias("_group"))
+    found = jaccard_join(docs, params)
+    named = found.members.join(found.found, "signature", "left").select("doc_id", "signature", F.coalesce("class", "signature").alias("_group"))
     first = named.groupBy("_group").agg(F.min(F.struct("doc_id", "signature")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     gone = stored(named.join(first, "_group").filter(F.struct("doc_id", "signature") != F.col("_first")).select(F.col("doc_id").alias("_gone"), F.col("signature").alias("_set")), f"{where}/gone")
     rows = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
     again = stored(rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("id").alias("_gone")), f"{where}/again")
-    once = _without(rows, again, "left_anti", params)
-    out = rows if once is None else once
-    out = _without(out, gone.select("_gone"), "left_anti", params) or out
-    if once is not None:
-
-        @F.pandas_udf("long")
-        def own_set(text: pd.Series) -> pd.Series:
-            held = [pd.Series(signatures(g, at), dtype="Int64").where(np.diff(at) > 0) for _, _, g, at in gram_sets(pa.array(text, pa.string(), from_pandas=True), params.n)]
-            return pd.concat(held, ignore_index=True) if held else pd.Series([], dtype="Int64")
-
-        many = _without(rows, again, "left_semi", params).withColumn("own", own_set("row.text"))
-        few = gone.join(again, "_gone", "left_semi")
-        left = many.filter("own is not null").join(few, (F.col("id") == F.col("_gone")) & (F.col("own") == F.col("_set")), "left_anti").dropDuplicates(["id", "own"])
-        out = out.unionByName(left.drop("own")).unionByName(many.filter("own is null").drop("own"))
-    return unpacked(out, docs)
-
-
-def _without(rows: DataFrame, ids: DataFrame, how: str, params: JaccardParams) -> DataFrame | None:
-    """``rows`` that are in ``ids``, or aren't; None if there are no ids. Few ids are sent to all tasks."""
-    n = ids.count()
-    return rows.join(F.broadcast(ids) if n <= params.broadcast_ids else ids, F.col("id") == F.col("_gone"), how) if n else None
+    if again.isEmpty():
+        return unpacked(rows.join(gone.select("_gone"), F.col("id") == F.col("_gone"), "left_anti"), docs)
+
+    @F.pandas_udf("long")
+    def own_set(text: pd.Series) -> pd.Series:
+        held = [pd.Series(signatures(g, at), dtype="Int64").where(np.diff(at) > 0) for _, _, g, at in gram_sets(pa.array(text, pa.string(), from_pandas=True), params.n)]
+        return pd.concat(held, ignore_index=True) if held else pd.Series([], dtype="Int64")
+
+    same = F.col("id") == F.col("_gone")
+    once = rows.join(again, same, "left_anti").join(gone.select("_gone"), same, "left_anti")
+    many = rows.join(again, same, "left_semi").withColumn("own", own_set("row.text"))
+    few = gone.join(again, "_gone", "left_semi")
+    left = many.filter("own is not null").join(few, same & (F.col("own") == F.col("_set")), "left_anti").dropDuplicates(["id", "own"])
+    return unpacked(once.unionByName(left.drop("own")).unionByName(many.filter("own is null").drop("own")), docs)

@@ -27,7 +27,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    return jaccard.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +70,17 @@ s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_dot_product(a.e, b.e)
 SELECT vec_id, neighbor_id, CAST(r AS INTEGER) AS rank, s AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbor_id) AS r FROM s) WHERE r <= 10""",
     "op4_ngram_jaccard": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END)) AS g FROM w WHERE len(w) > 0),
-r AS (SELECT g, min(doc_id) AS rep, len(g) AS size FROM g GROUP BY g),
-t AS (SELECT rep, size, unnest(g) AS t FROM r),
-o AS (SELECT a.rep AS doc_a, b.rep AS doc_b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n
-    FROM t a JOIN t b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, round(n / (sa + sb - n), 6) AS similarity FROM o WHERE n / (sa + sb - n) >= 0.5
-UNION ALL SELECT DISTINCT r.rep, g.doc_id, 1.0::DOUBLE FROM g JOIN r ON g.g = r.g WHERE g.doc_id <> r.rep""",
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END)) AS g FROM w),
+r AS (SELECT row_number() OVER (ORDER BY min(doc_id), g) AS s, g, min(doc_id) AS rep, count(*) - 1 AS n_copies, len(g) AS size FROM g WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT s, size, unnest(g) AS t FROM r),
+o AS (SELECT a.s AS a, b.s AS b FROM t a JOIN t b ON a.t = b.t AND a.s <> b.s GROUP BY a.s, b.s, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.5),
+c(s, m) AS (SELECT s, s FROM r UNION SELECT c.s, o.b FROM c JOIN o ON c.m = o.a),
+k AS (SELECT c.s, min(m.rep) AS class_id FROM c JOIN r m ON c.m = m.s GROUP BY c.s),
+l AS (SELECT a AS s, count(*) AS n_links FROM o GROUP BY a)
+SELECT g.doc_id, k.class_id, coalesce(l.n_links, 0) AS n_links, r.n_copies FROM g JOIN r ON g.g = r.g JOIN k ON r.s = k.s LEFT JOIN l ON r.s = l.s
+UNION ALL SELECT doc_id, doc_id, 0, 0 FROM g WHERE len(g) = 0""",
     "op6_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')), 0) AS BIGINT) AS n_tokens,
     md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),

@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from lodestone.llm.jaccard import JaccardParams, components, keep_one, near_duplicates
+from lodestone.llm.jaccard import JaccardParams, components, keep_one, near_classes, near_duplicates, overlaps, roots
 
 from .corpora import AWKWARD, cluttered, documents, prose
 
@@ -49,7 +51,7 @@ def near_copies(seed=11, n=60):
     return [(i, t, "aa", "s", len(t)) for i, t in enumerate(out)]
 
 
-PARAMS = [JaccardParams(), JaccardParams(threshold=0.8, n=2, vertical=1, witnesses=1), JaccardParams(n=1, threshold=0.3, vertical=7, fragment_grams=500, popular=20, local_count=2, broadcast_ids=0), JaccardParams(threshold=0.65, witnesses=5, fragment_grams=2000)]
+PARAMS = [JaccardParams(), JaccardParams(threshold=0.8, n=2, vertical=1), JaccardParams(n=1, threshold=0.3, vertical=7, fragment_grams=500, block_grams=700, popular=20, local_count=2), JaccardParams(threshold=0.65, fragment_grams=2000, block_grams=3000)]
 
 
 @pytest.mark.parametrize("params", PARAMS)
@@ -59,6 +61,54 @@ def test_same_as_brute_force(spark, params):
     assert got == pytest.approx(brute(rows, params.n, params.threshold), abs=2e-6)
 
 
+def classes(rows, n=3, threshold=0.5):
+    """doc_id, class_id, n_links, n_copies of every distinct document, from all pairs of sets."""
+    docs = {(r[0], grams(r[1], n)) for r in rows if r[0] is not None}
+    sets = sorted({g for _, g in docs if g}, key=sorted)
+    alike = {g: [h for h in sets if h != g and len(g & h) / len(g | h) >= threshold] for g in sets}
+    ids = {g: sorted(i for i, h in docs if h == g) for g in sets}
+    out = []
+    for i, g in docs:
+        reached, todo = {g}, [g]
+        while todo and g:
+            fresh = set(alike[todo.pop()]) - reached
+            reached |= fresh
+            todo += fresh
+        out.append((i, min(ids[h][0] for h in reached), len(alike[g]), len(ids[g]) - 1) if g else (i, i, 0, 0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("params", PARAMS)
+def test_classes_same_as_brute_force(spark, params):
+    rows = near_copies(5) + AWKWARD + [(3, "another text of id three, like none", "aa", "s", 1), (3, None, None, None, None), (4, "ПРИВЕТ БОЛЬШОЙ МИР СНОВА", "aa", "s", 1), (950, "привет большой мир снова", "aa", "s", 1)]
+    got = near_classes(cluttered(documents(spark, rows)), params).collect()
+    assert sorted(map(tuple, got)) == classes(rows, params.n, params.threshold)
+
+
+@pytest.mark.parametrize("step", [1, 50, 1 << 19])
+@pytest.mark.parametrize("vertical", [1, 5])
+def test_overlaps(step, vertical):
+    r = random.Random(8)
+    sets = [sorted({r.randrange(40 if k % 3 else 400) for _ in range(r.randint(1, 30))}) for k in range(60)]
+    group = np.array([k % 4 for k in range(60)])
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    g = np.array([x for s in sets for x in s], np.uint64)
+    got = Counter()
+    for i, j, n in overlaps(g, at, group, (g % 3).astype(np.uint8), vertical, step):
+        for a, b, c in zip(i.tolist(), j.tolist(), n.tolist(), strict=True):
+            assert (a, b) not in got
+            got[a, b] = c
+    want = {(i, j): len(set(sets[i]) & set(sets[j])) for i in range(60) for j in range(i + 1, 60) if group[i] == group[j]}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_roots():
+    r = np.random.default_rng(1)
+    order = r.permutation(500)
+    assert (roots(500, order[:-1], order[1:]) == 0).all()
+    assert roots(4, np.array([3]), np.array([1])).tolist() == [0, 1, 2, 1] and roots(2, *np.zeros((2, 0), int)).tolist() == [0, 1]
+
+
 def test_all_near_copies_meet(spark):
     text = prose("zz", 1, 5, 300, 301)[0].split()
     rows = []
@@ -77,7 +127,7 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {100: 100, 150: 100, 200: 100}
 
 
-@pytest.mark.parametrize("params", [JaccardParams(), JaccardParams(broadcast_ids=0)])
+@pytest.mark.parametrize("params", [JaccardParams(), JaccardParams(fragment_grams=900, block_grams=400)])
 def test_keep_one(spark, params):
     rows = near_copies(13, 30) + AWKWARD
     edges = brute(rows)
@@ -99,7 +149,7 @@ def test_keep_one(spark, params):
     assert sorted(x for x in got if x is not None) == want and got.count(None) == 1
 
 
-@pytest.mark.parametrize("params", [JaccardParams(), JaccardParams(broadcast_ids=0)])
+@pytest.mark.parametrize("params", [JaccardParams(), JaccardParams(fragment_grams=900, block_grams=400)])
 def test_texts_that_share_an_id_go_one_by_one(spark, params):
     a, b, c, d, e = prose("aa", 5, 21, 60, 80)
     near = lambda t: t + " changed"
@@ -111,6 +161,6 @@ def test_texts_that_share_an_id_go_one_by_one(spark, params):
 
 
 def test_empty(spark):
-    assert near_duplicates(documents(spark)).count() == 0
+    assert near_duplicates(documents(spark)).count() == 0 and near_classes(documents(spark)).count() == 0
     assert keep_one(documents(spark)).count() == 0
     assert near_duplicates(documents(spark, [(1, None, None, None, None), (2, "", None, None, None)])).count() == 0
