@@ -6,7 +6,8 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +92,14 @@ def pack_documents(docs: DataFrame, params: PackParams = PackParams()) -> DataFr
     placed = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     limit = params.bucket
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "_n"], kind="stable", na_position="first").reset_index(drop=True)
-        copy = pdf.groupby("doc_id", dropna=False).cumcount().to_numpy()
-        ids, n = pdf["doc_id"], pdf["_n"].to_numpy(np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("_n", "ascending")], null_placement="at_start")).combine_chunks()
+        known, ids, n = table["doc_id"].is_valid().to_numpy(), table["doc_id"].fill_null(0).to_numpy(), table["_n"].to_numpy()
+        new = np.ones(len(n), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])
+        first = np.flatnonzero(new)
+        copy = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
         rest, full = n % w, n // w
-        b = int(pdf["_b"].iloc[0])
         rows, at = [], 0  # row, piece, tokens, window, window's tokens
         for i in np.flatnonzero(full):
             for p in range(full[i]):
@@ -113,6 +116,6 @@ def pack_documents(docs: DataFrame, params: PackParams = PackParams()) -> DataFr
                 rows.extend((own[j], full[own[j]], sizes[j], at, filled) for j in part)
                 at += 1
         i, piece, size, window, filled = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
-        return pd.DataFrame({"doc_id": ids.iloc[i].to_numpy(), "copy": copy[i], "piece": piece, "start_token": piece * w, "n_tokens": size, "bucket": b, "window": window, "window_tokens": filled})
+        return pa.table({"doc_id": pa.array(ids[i], mask=~known[i]), "copy": copy[i].astype(np.int32), "piece": piece.astype(np.int32), "start_token": piece * w, "n_tokens": size, "bucket": np.full(len(i), table["_b"][0].as_py()), "window": window.astype(np.int32), "window_tokens": filled})
 
-    return placed.groupBy("_b").applyInPandas(run, "doc_id long, copy int, piece int, start_token long, n_tokens long, bucket long, window int, window_tokens long")
+    return placed.groupBy("_b").applyInArrow(run, "doc_id long, copy int, piece int, start_token long, n_tokens long, bucket long, window int, window_tokens long")

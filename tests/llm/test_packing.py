@@ -88,6 +88,12 @@ def test_windows_of_full_buckets_are_nearly_equal(spark, nulls, most, spread):
     assert max(max(v) - min(v) for v in sums.values()) < spread
 
 
+def test_large_ids_beside_null(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, -5]
+    got = pack_documents(documents(spark, [(i, "some words", "aa", "s", 1) for i in ids]), PackParams(bucket=10)).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted(ids, key=str)
+
+
 def test_empty(spark):
     assert pack_documents(documents(spark)).count() == 0
     assert pack_documents(documents(spark, [(1, None, None, None, None), (2, "", None, None, None)])).count() == 0
