@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U, chunks, lower_bytes, release, shared_dir, shingles, span_hashes, stored, words
+from lodestone.llm.common import U, chunks, lower_bytes, release, shared_dir, shingles, small_batches, span_hashes, stored, words
 
 
 @dataclass(frozen=True)
@@ -110,23 +110,25 @@ def extract_main_text(pages: DataFrame, params: ExtractionParams = ExtractionPar
     64-bit hashes.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     where, length = shared_dir(spark), params.length
     size = pages.select(host_of("url").alias("_h"), F.char_length(F.coalesce("html", F.lit(""))).alias("_n")).groupBy("_h").agg(F.sum("_n").alias("_chars"))
     size = stored(size.select("_h", F.greatest(F.ceil(F.col("_chars") / params.shard_chars), F.lit(1)).cast("int").alias("_shards")), f"{where}/hosts")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of("url").alias("host"), visible_text("html").alias("text"))
     rows = rows.join(size, F.col("host") == F.col("_h")).withColumn("shard", F.pmod(F.xxhash64("page_id"), "_shards").cast("int"))
     several = size.filter("_shards > 1").count() > 0
+    tasks = int(size.agg(F.sum("_shards")).first()[0] or 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, part in batch.to_pandas().groupby(["host", "shard"], sort=False):
-                ids = part["page_id"]
-                texts = [entities.unescape(x) if "&" in x else x for x in part["text"]]
+            known, ids = batch.column("page_id").is_valid().to_numpy(False), batch.column("page_id").fill_null(0).to_numpy()
+            part = batch.select(["host", "shard", "text"]).to_pandas()
+            for key, own in part.groupby(["host", "shard"], sort=False).indices.items():
+                texts = [entities.unescape(x) if "&" in x else x for x in part["text"].iloc[own]]
                 data = [x.encode("utf-8", "replace") for x in texts]
                 blob = b"".join(data)
-                known = ids.notna().to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[0]]), pa.array([int(key[1])], pa.int32()), pa.array([ids.fillna(0).to_numpy(np.int64).tobytes()]), pa.array([known.tobytes()]), pa.array([np.array([len(x) for x in data], "<i8").tobytes()]), pa.array([len(blob)], pa.int64()), pa.array([pa.compress(blob, codec="zstd", asbytes=True)], pa.binary())],
+                    [pa.array([key[0]]), pa.array([int(key[1])], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([known[own].tobytes()]), pa.array([np.array([len(x) for x in data], "<i8").tobytes()]), pa.array([len(blob)], pa.int64()), pa.array([pa.compress(blob, codec="zstd", asbytes=True)], pa.binary())],
                     names=["host", "shard", "ids", "known", "lengths", "size", "texts"],
                 )
 
@@ -186,10 +188,10 @@ def extract_main_text(pages: DataFrame, params: ExtractionParams = ExtractionPar
         return pd.DataFrame({"page_id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([int(x) if k else None for x, k in zip(ids, known, strict=True)], "Int64"), "host": group["host"].iloc[0], "n_words": n, "n_kept": np.bincount(row[~gone], minlength=len(n)) if len(row) else n, "text": out})
 
     schema = "page_id long, host string, n_words long, n_kept long, text string"
-    packed = rows.mapInArrow(pack, "host string, shard int, ids binary, known binary, lengths binary, size long, texts binary")
+    packed = rows.mapInArrow(pack, "host string, shard int, ids binary, known binary, lengths binary, size long, texts binary").repartition(tasks, "host", "shard")
     if not several:
         return packed.groupBy("host", "shard").applyInPandas(lambda g: extract(g, None), schema)
-    crossing = rows.filter("_shards > 1").mapInArrow(emit, "host string, fragment int, shard int, hashes binary")
+    crossing = rows.filter("_shards > 1").mapInArrow(emit, "host string, fragment int, shard int, hashes binary").repartition(tasks, "host", "fragment")
     marks = stored(crossing.groupBy("host", "fragment").applyInPandas(meet, "host string, shard int, hashes binary"), f"{where}/marks")
     release(spark)
 

@@ -56,3 +56,9 @@ def test_awkward(spark):
     assert by[7]["text"] == by[8]["text"] == "" and by[7]["n_kept"] == 0
     assert by[None]["text"] == text
     assert extract_main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, 4]
+    got = extract_main_text(spark.createDataFrame([(i, "http://h/", f"<p>page {i}</p>") for i in ids], SCHEMA)).collect()
+    assert sorted((str(r["page_id"]), r["text"]) for r in got) == sorted((str(i), f"page {i}") for i in ids)
