@@ -13,20 +13,23 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import local_path, shared_dir, stored
+from lodestone.llm.common import local_path, mix, shared_dir, stored
 
 SLACK = 1e-7
+ROUNDING = 6e-10
 
 
 @dataclass(frozen=True)
 class TopKParams:
     """``k`` nearest by cosine similarity. The top level of the tree has about a node for each ``node_rows`` vectors, at most
-    ``max_nodes``; its centres come from a sample of ``sample`` vectors a node, which affects the cost alone."""
+    ``max_nodes``; its centres come from a sample of ``sample`` vectors a node, which affects the cost alone. A node of more
+    than ``tree_rows`` vectors is several trees."""
 
     k: int = 10
     node_rows: int = 1024
     max_nodes: int = 4096
     sample: int = 8
+    tree_rows: int = 16384
     leaf: int = 64
     base: float = 1.4
 
@@ -97,8 +100,8 @@ class Best:
         self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
     def worst(self, lo: int, hi: int) -> float:
-        """The distance that the kth of every query in the range lies within."""
-        return float(np.sqrt(np.maximum(0, 2 - 2 * self.score[lo:hi, -1].min()))) + SLACK
+        """The distance that the kth of every query in the range lies within; what rounding adds to a score doesn't count."""
+        return float(np.sqrt(np.maximum(0, 2 - 2 * (self.score[lo:hi, -1].min() - ROUNDING)))) + SLACK
 
     def offer(self, lo: int, hi: int, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores = np.round(scores, 9)
@@ -163,7 +166,28 @@ def _vectors(column, size: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    """Each row at length 1; divided by its largest magnitude first, so that no square under- or overflows."""
+    with np.errstate(under="ignore"):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+_TREES: dict[tuple[str, int], CoverTree] = {}
+
+
+def _load_tree(trees: str, node: int, size: int) -> CoverTree:
+    """A tree from the shared folder; a worker keeps the last few."""
+    if (trees, node) not in _TREES:
+        place = local_path(trees)
+        fs, base = (pafs.LocalFileSystem(), place) if place else pafs.FileSystem.from_uri(trees)
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/name={node}")) if f.path.endswith(".parquet")]
+        row = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in files]).to_pylist()[0]
+        kind = {"points": np.float64, "centres": np.float64, "radii": np.float64}
+        arrays = {f: np.frombuffer(row[f], kind.get(f, np.int64)) for f in CoverTree.fields}
+        while len(_TREES) >= 48:
+            _TREES.pop(next(iter(_TREES)))
+        _TREES[trees, node] = CoverTree(**arrays | {f: arrays[f].reshape(-1, size) for f in ("points", "centres")})
+    return _TREES[trees, node]
 
 
 def top_k(vectors: DataFrame, params: TopKParams = TopKParams()) -> DataFrame:
@@ -198,10 +222,23 @@ def top_k(vectors: DataFrame, params: TopKParams = TopKParams()) -> DataFrame:
         pivots.append(int(gap.argmax()))
     cast = spark.sparkContext.broadcast(points[pivots])
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cast.value), np.int64)
+        for batch in batches:
+            x = _unit(batch.column("_v").flatten().to_numpy().reshape(batch.num_rows, size))
+            n += np.bincount((x @ cast.value.T).argmax(axis=1), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["cell", "n"])
+
+    # a cell of more than a tree should hold is cut by a hash
+    held = rows.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+    cuts = np.maximum(1, -(-held["n"].to_numpy() // params.tree_rows))
+    begin = np.concatenate([[0], np.cumsum(cuts)[:-1]])
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(batch.column("_v").flatten().to_numpy().reshape(batch.num_rows, size))
             node = (x @ cast.value.T).argmax(axis=1)
+            node = begin[node] + (mix(batch.column("vec_id").to_numpy().view(np.uint64)) % cuts[node].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec_id", "v"])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,20 +253,11 @@ def top_k(vectors: DataFrame, params: TopKParams = TopKParams()) -> DataFrame:
     top = spark.read.parquet(trees).select("node", "centre", "radius").toPandas().sort_values("node")
     nodes = top["node"].to_numpy(np.int64)
     centres, radii = np.stack([np.frombuffer(c) for c in top["centre"]]), top["radius"].to_numpy(float)
-    place = local_path(trees)
-
-    def load(node: int) -> CoverTree:
-        fs, base = (pafs.LocalFileSystem(), place) if place else pafs.FileSystem.from_uri(trees)
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/name={node}")) if f.path.endswith(".parquet")]
-        row = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in files]).to_pylist()[0]
-        kind = {"points": np.float64, "centres": np.float64, "radii": np.float64}
-        arrays = {f: np.frombuffer(row[f], kind.get(f, np.int64)) for f in CoverTree.fields}
-        return CoverTree(**arrays | {f: arrays[f].reshape(-1, size) for f in ("points", "centres")})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node in batch.column("node").to_pylist():
-                q = load(node)
+                q = _load_tree(trees, node, size)
                 best = Best(len(q.ids), params.k)
                 dual_search(q, q, best)
                 own = int(np.searchsorted(nodes, node))
@@ -238,7 +266,7 @@ def top_k(vectors: DataFrame, params: TopKParams = TopKParams()) -> DataFrame:
                     if gaps[other] > best.worst(0, len(q.ids)):
                         break
                     if other != own:
-                        dual_search(q, load(int(nodes[other])), best)
+                        dual_search(q, _load_tree(trees, int(nodes[other]), size), best)
                 ok = np.isfinite(best.score)
                 r, c = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(q.ids[r]), pa.array(best.id[r, c]), pa.array((c + 1).astype(np.int32)), pa.array(best.score[r, c])], names=["vec_id", "neighbor_id", "rank", "score"])
