@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, lower_bytes, row_sums
+from lodestone.llm.common import chunks, lower_bytes, row_sums, small_batches
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -108,15 +108,18 @@ class LanguageModel:
 
 
 def train_language_model(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Fit the filters on at most ``train_rows`` labelled rows of each language, chosen by a hash of doc_id and text length.
+    """Fit the filters on at most ``train_rows`` labelled rows of each language, chosen by a hash of doc_id.
 
-    Rows with null or empty lang or text are not fitted on. More than 64 languages raise ValueError. Without labelled rows
+    Rows with null doc_id, and null or empty lang or text, are not fitted on; of rows that repeat an id the smallest text is. More than 64 languages raise ValueError. Without labelled rows
     the model has no language and decides 'und' for all.
     """
     labelled = docs.select("doc_id", "lang", "text").filter("lang is not null and lang <> '' and text is not null and text <> ''")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= params.train_rows).select("doc_id", "lang").distinct()
-    sample = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    small_batches(docs.sparkSession)
+    ids = labelled.select("doc_id", "lang").filter("doc_id is not null").distinct().withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(256)))
+    for parts in (["lang", "_part"], ["lang"]):  # first inside parts, so that no task ranks all of a language
+        w = Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= params.train_rows)
+    sample = labelled.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,6 +156,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null and empty texts, and texts without letters, get 'und', keep false. Ties within ``min_lead`` get 'und'. Repeated
     rows give repeated results, other columns are ignored, an empty table gives no rows; long texts are read whole.
     """
+    small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +172,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` whose language was decided, with all their columns."""
+    small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, row_sums, span_hashes
+from lodestone.llm.common import chunks, row_sums, small_batches, span_hashes
 
 FEATURES = ("n_words", "word_length", "upper", "digits", "symbols", "non_ascii", "unique_words", "top_word", "line_repeats", "line_length", "ended_lines", "pipes")
 #: +1: the score may only rise with the feature, -1: only fall, 0: free.
@@ -183,11 +183,13 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, params: QualityParam
     """Fit on at most ``train_rows`` rows whose label is 0 or 1, chosen by a hash of doc_id.
 
     Null ids, null labels and labels without a document are not used; where labels of an id disagree, the smallest counts.
+    Of rows that repeat an id the smallest text is fitted on.
     Without labels of both kinds all documents get the same score and are kept.
     """
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("_y").alias("_y"), F.min("text").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +211,7 @@ def score_quality(docs: DataFrame, model: TreeModel, params: QualityParams = Qua
     Null texts count as empty: all statistics 0, scored like any other. Repeated rows give repeated results, other columns
     are ignored, an empty table gives no rows; long texts are read whole.
     """
+    small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +224,7 @@ def score_quality(docs: DataFrame, model: TreeModel, params: QualityParams = Qua
 
 def keep_good(docs: DataFrame, model: TreeModel, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` that reach the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
