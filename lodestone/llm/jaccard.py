@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,7 @@ class JaccardParams:
     """Pairs of sets of ``n``-word grams with a Jaccard similarity of ``threshold`` or more.
 
     ``vertical`` fragments of the gram order are counted apart for each pair. ``fragment_grams`` and ``block_grams`` set how
-    many grams a task holds, of prefixes and of whole sets; a component of more is compared block by block.
-    ``popular`` and ``local_count`` bound the table that orders frequent grams last: it changes the cost, never the result.
+    many grams a task holds, of the order and of whole sets; a component of more is compared block by block.
     """
 
     n: int = 3
@@ -31,8 +31,6 @@ class JaccardParams:
     vertical: int = 4
     fragment_grams: int = 1_000_000
     block_grams: int = 500_000
-    popular: int = 1 << 19
-    local_count: int = 4
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
         """How many of a set's first grams include one of any similar set's first grams."""
@@ -42,14 +40,15 @@ class JaccardParams:
         """The least overlap of sets of these sizes that is similar."""
         return np.ceil(self.threshold / (1 + self.threshold) * (a + b) - 1e-9)
 
-    @property
-    def reach(self) -> int:
-        """How far apart the size levels of similar sets can be."""
-        return int(np.ceil(8 * np.log2(1 / self.threshold))) + 1
+    def reach(self, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The level of the largest set that a set can be similar to if their first common gram is in this place of it; 0 if
+        that is no set of its own size or more, so that it can only be the larger one."""
+        most = np.minimum(size / self.threshold, (1 + self.threshold) / self.threshold * (size - place) - size) + 1e-6
+        return np.where(most >= size, size_level(np.maximum(most, 1)), 0).astype(np.uint8)
 
 
 def size_level(size: np.ndarray) -> np.ndarray:
-    return np.floor(8 * np.log2(np.maximum(size, 1))).astype(np.uint8)
+    return (1 + np.floor(8 * np.log2(np.maximum(size, 1)))).astype(np.uint8)
 
 
 def gram_sets(column, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,48 +81,41 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _survey(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """kind 0: a document (a), its signature (b) and size (n), 0 without words. kind 1: a gram (a) that n documents near each other share."""
+_SURVEY = "kind int, a long, b long, n long, grams binary, rows binary, sets binary, sizes binary"
+
 
-    def popular(held: list) -> pa.RecordBatch:
-        g = np.sort(np.concatenate(held))
-        new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        n = np.diff(np.append(new, len(g)))
-        often = n >= params.local_count
-        return _batch(1, g[new][often].astype(np.int64), np.zeros(int(often.sum()), np.int64), n[often])
+def _survey(docs: DataFrame, params: JaccardParams) -> DataFrame:
+    """kind 0: a document (a), its signature (b) and size (n), 0 without words. kind 1: a chunk (a) of n grams of distinct sets."""
+
+    def chunk(held: list) -> pa.RecordBatch:
+        g, sig, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        sets, pick, same = np.unique(sig, return_index=True, return_inverse=True)
+        row = np.repeat(np.arange(len(sig)), size)
+        use = np.isin(row, pick)
+        g, row = g[use] >> U(8), same[row[use]]
+        o = np.argsort(g, kind="stable")
+        blob = lambda x: pa.array([x], pa.binary())
+        one = [pa.array([1], pa.int32()), *(pa.array([x], pa.int64()) for x in (uuid.uuid4().int >> 65, 0, len(g)))]
+        return pa.RecordBatch.from_arrays([*one, blob(_squeeze(g[o])), blob(_small(row[o])), blob(sets.astype("<i8").tobytes()), blob(size[pick].astype("<u4").tobytes())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
             for lo, hi, g, at in gram_sets(batch.column("text"), params.n):
-                yield _batch(0, batch.column("doc_id")[lo:hi], signatures(g, at), np.diff(at))
-                held.append(g)
+                n, sig, none = hi - lo, signatures(g, at), pa.nulls(hi - lo, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id")[lo:hi], pa.array(sig), pa.array(np.diff(at).astype(np.int64)), *[none] * 4], names=names)
+                some = np.diff(at) > 0
+                held.append((g, sig[some], np.diff(at)[some]))
                 total += len(g)
                 if total > 1 << 20:
-                    yield popular(held)
+                    yield chunk(held)
                     held, total = [], 0
         if total:
-            yield popular(held)
+            yield chunk(held)
         trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "kind int, a long, b long, n long")
-
-
-def _batch(kind: int, a, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    a = a if isinstance(a, pa.Array) else pa.array(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "n"])
-
-
-def _levels(g: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The first part of a gram's place in the global order: 0 for rare grams, then the bit length of its count; the hash is the second."""
-    often, level, coarse = order
-    out = np.zeros(len(g), np.uint8)
-    maybe = np.flatnonzero(coarse[(g >> U(44)).astype(np.int64)])
-    if len(maybe):
-        i = np.minimum(np.searchsorted(often, g[maybe]), len(often) - 1)
-        hit = often[i] == g[maybe]
-        out[maybe[hit]] = level[i[hit]]
-    return out
+    names = [c.split()[0] for c in _SURVEY.split(", ")]
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, _SURVEY)
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -137,26 +129,83 @@ def _unsqueeze(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-_LINKS = "fragment int, n int, grams binary, sets binary, rows binary, low binary, wide binary, edges binary"
+def _small(x: np.ndarray) -> bytes:
+    return x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+
+
+def _fragments(g: np.ndarray, fragments: int) -> np.ndarray:
+    """Where ascending 56-bit grams pass from one fragment to the next."""
+    return np.searchsorted(((g >> U(24)) * U(fragments) >> U(32)).astype(np.int64), np.arange(fragments + 1))
+
+
+def _counts(chunks_: DataFrame, fragments: int) -> DataFrame:
+    """Of each chunk and fragment the bit length of its grams' number of sets, in the chunk's order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                g = _unsqueeze(r["grams"], r["n"])
+                at = _fragments(g, fragments)
+                for ks in np.array_split(np.flatnonzero(np.diff(at)), max(1, fragments // 64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ks.astype(np.int32)), pa.array([r["a"]] * len(ks), pa.int64()), pa.array(np.diff(at)[ks]), pa.array([_squeeze(g[at[k] : at[k + 1]]) for k in ks], pa.binary())], names=["fragment", "chunk", "n", "grams"])
+        trim()
+
+    def count(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        g = np.concatenate([_unsqueeze(x.as_py(), k) for x, k in zip(table["grams"], n, strict=True)])
+        o = np.argsort(g)
+        first = np.flatnonzero(np.concatenate([[True], g[o][1:] != g[o][:-1]]))
+        many = np.diff(np.append(first, len(g)))
+        level = np.empty(len(g), np.uint8)
+        level[o] = np.repeat(np.frexp(many.astype(float))[1], many)
+        end = np.cumsum(n)
+        trim()
+        return pa.table({"chunk": table["chunk"], "fragment": table["fragment"], "n": table["n"], "levels": pa.array([pa.compress(level[b - k : b].tobytes(), codec="zstd", asbytes=True) for b, k in zip(end, n, strict=True)], pa.binary())})
+
+    parts = chunks_.select("a", "n", "grams").mapInArrow(cut, "fragment int, chunk long, n long, grams binary")
+    return parts.repartition(fragments, "fragment").groupBy("fragment").applyInArrow(count, "chunk long, fragment int, n long, levels binary")
+
 
+_LINKS = "fragment int, n int, grams binary, sets binary, rows binary, low binary, reach binary, edges binary"
 
-def _blocks(held: list, fragments: int, reach: int) -> Iterator[pa.RecordBatch]:
-    """Prefix grams by fragment, each with one of the sets that have it here and the range of their size levels.
 
-    Sets that share a gram here, of sizes that can be similar, are linked at once, and only their first one goes on with it.
+def _runs(g: np.ndarray, low: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by gram, size level and falling reach: which begin a run, and which entry links each that doesn't.
+
+    Of a similar pair the smaller set reaches the larger one's size at their first common gram; so an entry within reach
+    of one before it is linked to that, and no pair crosses from one run to another.
     """
-    g, sig, level = (np.concatenate(x) for x in zip(*held, strict=True))
-    sets, row = np.unique(sig, return_inverse=True)
-    o = np.lexsort((level, g))
-    g, row, level = g[o], row[o].astype(np.int64), level[o]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (level[1:].astype(np.int16) > level[:-1].astype(np.int16) + reach)
+    if not len(g):
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    fresh = np.ones(len(g), bool)
+    fresh[1:] = g[1:] != g[:-1]
+    top = np.maximum.accumulate((np.cumsum(fresh) << 40 | reach.astype(np.int64) << 32) | np.arange(len(g)))
+    before = np.concatenate([[0], top[:-1]])
+    new = fresh | (low > (before >> 32 & 255))
+    return new, before & 0xFFFFFFFF
+
+
+def _blocks(g: np.ndarray, row: np.ndarray, low: np.ndarray, reach: np.ndarray, sets: np.ndarray, fragments: int) -> pa.Table:
+    """Prefix grams by fragment, each with a set that has it here, the set's size level and reach.
+
+    What a gram links here is linked at once, and only one set of a run goes on, with the reach and sizes of all.
+    """
+    o = np.lexsort((255 - reach, low, g))
+    g, row, low, reach = g[o], row[o].astype(np.int64), low[o], reach[o]
+    new, to = _runs(g, low, reach)
     again = np.flatnonzero(~new)
-    root = roots(len(sets), row[again - 1], row[again])
+    root = roots(len(sets), row[to[again]], row[again])
     linked = np.flatnonzero(root != np.arange(len(sets)))
     first = np.flatnonzero(new)
-    g, row, low, high = g[first], row[first], level[first], level[np.append(first[1:], len(level)) - 1]
-    cut = np.searchsorted(((g >> U(24)) * U(fragments) >> U(32)).astype(np.int64), np.arange(fragments + 1))
+    if len(first):
+        last = np.append(first[1:], len(g)) - 1
+        reach = np.where(last > first, np.maximum(np.maximum.reduceat(reach, first), low[last]), reach[first])
+    g, row, low = g[first], row[first], low[first]
+    cut = _fragments(g, fragments)
     out: list[tuple] = []
     if len(linked):
         edges = np.stack([sets[linked], sets[root[linked]]]).astype("<i8").tobytes()
@@ -164,66 +213,56 @@ def _blocks(held: list, fragments: int, reach: int) -> Iterator[pa.RecordBatch]:
     for k in np.flatnonzero(np.diff(cut)):
         s = slice(cut[k], cut[k + 1])
         own, code = np.unique(row[s], return_inverse=True)
-        out.append((int(k), len(code), _squeeze(g[s]), sets[own].astype("<i8").tobytes(), code.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes(), low[s].tobytes(), (high[s] - low[s]).tobytes(), b""))
+        out.append((int(k), len(code), _squeeze(g[s]), sets[own].astype("<i8").tobytes(), _small(code), low[s].tobytes(), reach[s].tobytes(), b""))
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _LINKS.split(", ")])
-
-
-def _prefixes(docs: DataFrame, params: JaccardParams, fragments: int, cast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for batch in batches:
-            for _, _, g, at in gram_sets(batch.column("text"), params.n):
-                size = np.diff(at)
-                if not len(g):
-                    continue
-                sig = signatures(g, at)
-                pick = np.zeros(len(size), bool)
-                pick[np.unique(sig, return_index=True)[1]] = True
-                row = np.repeat(np.arange(len(size)), size)
-                order = np.argsort(row * 64 + _levels(g, cast.value), kind="stable")
-                place = np.arange(len(g)) - np.repeat(at[:-1], size)
-                use = (place < np.repeat(params.prefix(size), size)) & pick[row]
-                held.append((g[order][use] >> U(8), sig[row[use]], size_level(size)[row[use]]))
-                total += int(use.sum())
-                if total > 1 << 20:
-                    yield from _blocks(held, fragments, params.reach)
-                    held, total = [], 0
-        if total:
-            yield from _blocks(held, fragments, params.reach)
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=[c.split()[0] for c in _LINKS.split(", ")])
+
+
+def _prefixes(chunks_: DataFrame, counts: DataFrame, n_chunks: int, params: JaccardParams, fragments: int) -> DataFrame:
+    """The prefix grams that more than one set has; rare grams come first in the order, then the hash decides."""
+
+    def prefix(key, chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        out = []
+        for r in chunk.to_pylist():
+            g = _unsqueeze(r["grams"], r["n"])
+            counted = counted.sort_by("fragment")
+            level = np.concatenate([np.frombuffer(pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True), np.uint8) for x, n in zip(counted["levels"], counted["n"].to_pylist(), strict=True)])
+            row, size, sets = _wide(r["rows"], len(g)), np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["sets"], "<i8")
+            o = np.argsort(row * 64 + level, kind="stable")
+            g, row, level = g[o], row[o], level[o]
+            place = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+            use = (place < params.prefix(size)[row]) & (level > 1)
+            g, row, place = g[use], row[use], place[use]
+            out.append(_blocks(g, row, size_level(size)[row], params.reach(size[row], place), sets, fragments))
         trim()
+        return pa.concat_tables(out) if out else _blocks(*(np.zeros(0, k) for k in (np.uint64, np.int64, np.uint8, np.uint8, np.int64)), fragments)
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").select("text").mapInArrow(run, _LINKS)
+    one = chunks_.withColumnRenamed("a", "chunk").repartition(n_chunks, "chunk").groupBy("chunk")
+    return one.cogroup(counts.repartition(n_chunks, "chunk").groupBy("chunk")).applyInArrow(prefix, _LINKS)
 
 
-def link(table: pa.Table, reach: int) -> tuple[np.ndarray, np.ndarray]:
+def link(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each set of a fragment to the smallest one that it is linked to: by edges given, and by grams shared by sets of sizes that can be similar."""
-    gs, ss, lows, wides, edges = [], [], [], [], []
+    gs, ss, lows, reaches, edges = [], [], [], [], []
     for r in table.to_pylist():
         if r["n"]:
             sets = np.frombuffer(r["sets"], "<i8")
             gs.append(_unsqueeze(r["grams"], r["n"]))
-            ss.append(sets[np.frombuffer(r["rows"], "<u2" if len(r["rows"]) == 2 * r["n"] else "<u4")])
+            ss.append(sets[_wide(r["rows"], r["n"])])
             lows.append(np.frombuffer(r["low"], np.uint8))
-            wides.append(np.frombuffer(r["wide"], np.uint8))
+            reaches.append(np.frombuffer(r["reach"], np.uint8))
         else:
             edges.append(np.frombuffer(r["edges"], "<i8").reshape(2, -1))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    g, s, low, wide = join(gs, np.uint64), join(ss, np.int64), join(lows, np.uint8), join(wides, np.uint8)
+    g, s, low, reach = join(gs, np.uint64), join(ss, np.int64), join(lows, np.uint8), join(reaches, np.uint8)
     given = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
-    o = np.argsort(g)
-    same = np.zeros(len(g) + 1, bool)
-    same[1:-1] = g[o][1:] == g[o][:-1]
-    o = o[same[1:] | same[:-1]]
-    o = o[np.lexsort((low[o], g[o]))]
-    g, s, low, high = g[o], s[o], low[o].astype(np.int64), low[o].astype(np.int64) + wide[o]
-    fresh = np.ones(len(g), bool)
-    fresh[1:] = g[1:] != g[:-1]
-    top = np.maximum.accumulate(np.cumsum(fresh) * 1024 + high) % 1024 if len(g) else high
-    k = np.flatnonzero(~fresh[1:] & (low[1:] <= top[:-1] + reach))
+    o = np.lexsort((255 - reach, low, g))
+    g, s, low, reach = g[o], s[o], low[o], reach[o]
+    new, to = _runs(g, low, reach)
+    k = np.flatnonzero(~new)
     ids, code = np.unique(np.concatenate([s, given.ravel()]), return_inverse=True)
     a, b = code[len(s) :].reshape(2, -1)
-    root = roots(len(ids), np.concatenate([code[: len(s)][k], a]), np.concatenate([code[: len(s)][k + 1], b]))
+    root = roots(len(ids), np.concatenate([code[: len(s)][k], a]), np.concatenate([code[: len(s)][to[k]], b]))
     moved = np.flatnonzero(root != np.arange(len(ids)))
     return ids[moved], ids[root[moved]]
 
@@ -235,17 +274,16 @@ def _expand(lists: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
 
 
-def overlaps(grams: np.ndarray, at: np.ndarray, group: np.ndarray, level: np.ndarray, vertical: int, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def overlaps(grams: np.ndarray, at: np.ndarray, group: np.ndarray, vertical: int, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs i < j of sets of one group that share n grams: i, j, n.
 
-    The order of the grams (level, then hash) is cut into ``vertical`` fragments; each counts its part of every pair, and the
-    parts are summed. Small groups are counted by their lists of sets a gram; in a large one the grams that many of its sets
+    The order of the grams is cut into ``vertical`` fragments; each counts its part of every pair, and the parts are summed. Small groups are counted by their lists of sets a gram; in a large one the grams that many of its sets
     have are counted by products of matrices.
     """
     size = np.diff(at)
     m = len(size)
     owner = np.repeat(np.arange(m), size)
-    o = np.lexsort((owner, grams, level, group[owner]))
+    o = np.lexsort((owner, grams, group[owner]))
     g, who, of = grams[o], owner[o], group[owner[o]]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
@@ -256,7 +294,7 @@ def overlaps(grams: np.ndarray, at: np.ndarray, group: np.ndarray, level: np.nda
     where = np.flatnonzero(keep)
     # the order's fragments hold equal shares of what is shared here
     rank = np.empty(len(g), np.int64)
-    by_order = np.lexsort((g, level[o]))
+    by_order = np.argsort(g, kind="stable")
     rank[by_order] = np.cumsum(keep[by_order]) * vertical // max(1, len(where) + 1)
     head = np.zeros(len(g), np.int64)
     head[first] = cost[first]
@@ -332,44 +370,44 @@ class JaccardJoin:
 def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), pairs: bool = False) -> JaccardJoin:
     """All similar pairs of distinct gram sets, or what they come to for each set.
 
-    Sets that are equal meet once, as the smallest doc_id that has them, so that copies cost no pairs. Sets that share a gram
-    of their prefixes are linked, one link a set and place, never a pair for each; what links connect is a component, whose
-    sets are read together and compared exactly. A component of over ``block_grams`` grams is cut into blocks by a hash, and
+    Sets that are equal meet once, as the smallest doc_id that has them, so that copies cost no pairs. Grams are ordered by the
+    bit length of the number of sets that have them, then by hash. Sets that share a gram of their prefixes, in places that
+    allow the threshold, are linked, one link a set and gram, never a pair for each; what links connect is a component,
+    whose sets are read together and compared exactly. A component of over ``block_grams`` grams is cut into blocks by a hash, and
     each pair of blocks is a task. Rows without doc_id take no part. Rows that repeat an id are compared each, with the same
     text once. An empty table gives no rows; other columns are ignored; texts are read whole. Equal 63-bit signatures are
-    taken for equal sets, equal 64-bit hashes for equal grams.
+    taken for equal sets, equal 64-bit hashes for equal
+    grams (links are made by 56 bits of them).
     """
     spark = docs.sparkSession
     small_batches(spark)
     where = shared_dir(spark)
     survey = stored(_survey(docs, params), f"{where}/survey")
     every = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("signature"), F.col("n").alias("size"))
-    without = every.filter("size = 0").select("doc_id").distinct()
+    without = stored(every.filter("size = 0").select("doc_id").distinct(), f"{where}/without")
     sets = every.filter("size > 0")
     first = sets.groupBy("signature").agg(F.min("doc_id").alias("representative"), F.first("size").alias("size"))
     members = stored(sets.select("signature", "doc_id").distinct().join(first, "signature").select("doc_id", "signature", "representative", "size"), f"{where}/members")
-    often = survey.filter("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(params.popular).toPandas()
-    keys = often["gram"].to_numpy(np.int64).view(np.uint64)
-    o = np.argsort(keys)
-    keys, level = keys[o], np.minimum(np.frexp(often["n"].to_numpy(float)[o])[1], 63).astype(np.uint8)
-    coarse = np.zeros(1 << 20, bool)
-    coarse[(keys >> U(44)).astype(np.int64)] = True
-    cast = spark.sparkContext.broadcast((keys, level, coarse))
-    total = sets.agg(F.sum(F.col("size") - F.ceil(F.col("size") * params.threshold - 1e-9) + 1)).first()[0] or 0
-    fragments = max(1, -(-int(total) // params.fragment_grams))
-    reach = params.reach
+    pieces = survey.filter("kind = 1").drop("kind", "b")
+    n_chunks, total = pieces.agg(F.count("*"), F.sum("n")).first()
+    fragments = max(1, -(-int(total or 0) // params.fragment_grams))
+    counts = stored(_counts(pieces, fragments), f"{where}/counts")
+    release(spark)
 
     def join(table: pa.Table) -> pa.Table:
-        a, b = link(table, reach)
+        a, b = link(table)
         trim()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    links = _prefixes(docs, params, fragments, cast).repartition(fragments, "fragment").groupBy("fragment").applyInArrow(join, "a long, b long")
+    few = max(1, fragments // 2)
+    links = _prefixes(pieces, counts, max(1, n_chunks), params, few).repartition(few, "fragment").groupBy("fragment").applyInArrow(join, "a long, b long")
     links = stored(links.distinct(), f"{where}/links")
+    for name in ("survey", "counts"):
+        forget(spark, f"{where}/{name}")
     release(spark)
     component = components(links)
     needed = stored(component.select(F.col("node").alias("signature"), "component").join(members.filter("doc_id = representative").drop("doc_id"), "signature"), f"{where}/needed")
-    found = stored(_compare(docs, needed, params, cast, pairs, where), f"{where}/found")
+    found = stored(_compare(docs, needed, params, pairs), f"{where}/found")
     if not pairs:
         found = _classes(found, where)
     forget(spark, f"{where}/links")
@@ -378,7 +416,7 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), pairs
     return JaccardJoin(members, found, without)
 
 
-def _compare(docs: DataFrame, needed: DataFrame, params: JaccardParams, cast, pairs: bool, where: str) -> DataFrame:
+def _compare(docs: DataFrame, needed: DataFrame, params: JaccardParams, pairs: bool) -> DataFrame:
     """What each component's, or pair of blocks', task finds: pairs; or sets with links here and the smallest set that similarity connects them to here."""
     spark = docs.sparkSession
     total = needed.agg(F.sum("size")).first()[0] or 0
@@ -423,7 +461,7 @@ def _compare(docs: DataFrame, needed: DataFrame, params: JaccardParams, cast, pa
         block, across, large_ = table["block"].to_numpy(), table["i"][0].as_py() != table["j"][0].as_py(), table["large"][0].as_py()
         del table, gs
         links, root, out = np.zeros(len(sig), np.int64), np.arange(len(sig)), []
-        for i, j, n in overlaps(g, at, group, _levels(g, cast.value), params.vertical):
+        for i, j, n in overlaps(g, at, group, params.vertical):
             ok = n >= params.overlap(size[i], size[j])
             if across:
                 ok &= block[i] != block[j]

@@ -51,7 +51,7 @@ def near_copies(seed=11, n=60):
     return [(i, t, "aa", "s", len(t)) for i, t in enumerate(out)]
 
 
-PARAMS = [JaccardParams(), JaccardParams(threshold=0.8, n=2, vertical=1), JaccardParams(n=1, threshold=0.3, vertical=7, fragment_grams=500, block_grams=700, popular=20, local_count=2), JaccardParams(threshold=0.65, fragment_grams=2000, block_grams=3000)]
+PARAMS = [JaccardParams(), JaccardParams(threshold=0.8, n=2, vertical=1), JaccardParams(n=1, threshold=0.3, vertical=7, fragment_grams=500, block_grams=700), JaccardParams(threshold=0.65, fragment_grams=2000, block_grams=3000)]
 
 
 @pytest.mark.parametrize("params", PARAMS)
@@ -94,7 +94,7 @@ def test_overlaps(step, vertical):
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     g = np.array([x for s in sets for x in s], np.uint64)
     got = Counter()
-    for i, j, n in overlaps(g, at, group, (g % 3).astype(np.uint8), vertical, step):
+    for i, j, n in overlaps(g, at, group, vertical, step):
         for a, b, c in zip(i.tolist(), j.tolist(), n.tolist(), strict=True):
             assert (a, b) not in got
             got[a, b] = c
