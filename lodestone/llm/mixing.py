@@ -86,24 +86,40 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 def take_mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """``docs`` repeated and cut to the mix of ``mix_sources``, with all its columns. A cut row holds its first tokens, and
-    n_chars, if there is such a column, their length. Rows that repeat an id where the budget ends are all cut there.
+    n_chars, if there is such a column, their length. Of rows that tie in the order (equal ids and token counts) as many are
+    taken as fit, the next one is cut, and which they are is as they were stored.
 
     Each source's mix is one place in its order, so the texts meet a table with one row a source and aren't shuffled.
     """
     spark = docs.sparkSession
-    placed = _placed(docs, params)
+    where = shared_dir(spark)
+    placed = stored(_placed(docs, params), f"{where}/placed")
     first = F.lit(-(1 << 63)).cast("long")
-    place = F.struct("mix_key", F.coalesce("doc_id", first).alias("id"))
-    left = F.struct(place.alias("at"), (F.col("_rest") - F.col("start_token")).alias("left"))
-    ends = placed.groupBy(F.col("source").alias("_s")).agg(F.first("_epochs").alias("_epochs"), F.min(F.when(~_in_rest(), left)).alias("_end"))
-    ends = stored(ends.select("_s", "_epochs", F.col("_end.at").alias("_at"), F.greatest(F.col("_end.left"), F.lit(0)).alias("_left")), f"{shared_dir(spark)}/ends")
-    n = ends.count()
-    own = F.struct(_key(params, F.col("row.doc_id")).alias("mix_key"), F.coalesce(F.col("row.doc_id").cast("long"), first).alias("id"))
-    rows = packed(docs).withColumn("_own", own)
-    joined = rows.join(F.broadcast(ends) if n <= params.broadcast_sources else ends, F.col("row.source").cast("string").eqNullSafe(F.col("_s")))
-    copies = F.col("_epochs") + F.when(F.col("_own") < F.col("_at"), F.lit(1)).otherwise(F.lit(0))
-    cut = F.when(F.col("_own") == F.col("_at"), F.col("_left")).otherwise(F.lit(0))
-    joined = joined.withColumn("_copies", copies).withColumn("_cut", cut)
+    place = F.struct("mix_key", F.coalesce("doc_id", first).alias("id"), "n_tokens")
+    over = F.struct(place.alias("at"), (F.col("start_token") - F.col("_rest")).alias("over"))
+    ends = placed.groupBy(F.col("source").alias("_s")).agg(F.first("_epochs").alias("_epochs"), F.min(F.when(~_in_rest(), over)).alias("_end"))
+    ends = ends.select("_s", "_epochs", F.col("_end.at").alias("_at"), F.greatest(-F.col("_end.over"), F.lit(0)).alias("_left"))
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    ties = placed.filter(_in_rest()).withColumn("_own", place).join(ends, same & (F.col("_own") == F.col("_at"))).groupBy(F.col("_s").alias("_s2")).agg(F.count("*").alias("_whole"))
+    ends = ends.join(ties, F.col("_s").eqNullSafe(F.col("_s2")), "left").select("_s", "_epochs", "_at", "_left", F.coalesce("_whole", F.lit(0)).alias("_whole"))
+    ends = stored(ends, f"{where}/ends")
+    small = ends.count() <= params.broadcast_sources
+    key = F.struct(_key(params, F.col("row.doc_id")).alias("mix_key"), F.coalesce(F.col("row.doc_id").cast("long"), first).alias("id"))
+    at = F.struct("_at.mix_key", "_at.id")
+    rows = packed(docs).join(F.broadcast(ends) if small else ends, F.col("row.source").cast("string").eqNullSafe(F.col("_s")))
+    own = F.when(key == at, count_tokens("row.text"))
+    order = F.when(key < at, -1).when(key > at, 1).when(own < F.col("_at.n_tokens"), -1).when(own > F.col("_at.n_tokens"), 1).otherwise(0)
+    rows = rows.withColumn("_order", F.when(F.col("_at").isNull(), 1).otherwise(order))
+    # the few rows that tie with the end are numbered, in each partition of their table and then across
+    tied = stored(rows.filter("_order = 0").withColumn("_n", F.monotonically_increasing_id()), f"{where}/tied").withColumn("_part", F.shiftright("_n", 33))
+    sums = tied.groupBy("_s", "_part").agg(F.count("*").alias("_c"))
+    before = sums.select(F.col("_s").alias("_s3"), F.col("_part").alias("_p"), (F.sum("_c").over(Window.partitionBy("_s").orderBy("_part")) - F.col("_c")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_s", "_part").orderBy("_n")) - 1
+    tied = tied.withColumn("_k", number).join(before, F.col("_s").eqNullSafe(F.col("_s3")) & (F.col("_part") == F.col("_p"))).withColumn("_k", F.col("_k") + F.col("_before"))
+    none = F.lit(0).cast("long")
+    plain = rows.filter("_order <> 0").select("row", (F.col("_epochs") + F.when(F.col("_order") < 0, 1).otherwise(0)).alias("_copies"), none.alias("_cut"))
+    at_end = tied.select("row", (F.col("_epochs") + F.when(F.col("_k") < F.col("_whole"), 1).otherwise(0)).alias("_copies"), F.when(F.col("_k") == F.col("_whole"), F.col("_left")).otherwise(none).alias("_cut"))
+    joined = plain.unionByName(at_end)
     times = F.col("_copies") + (F.col("_cut") > 0).cast("long")
     taken = joined.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     last = (F.col("_epoch") == F.col("_copies")) & (F.col("_cut") > 0)

@@ -63,10 +63,17 @@ def test_taken_texts(spark, params):
     for r in taken.select("doc_id", "source", "text", "n_chars").collect():
         got.setdefault((r[0], r[1]), []).append(count(r[2]))
         assert r[2] is None or r[3] == len(r[2]) or r[0] in (905, 907, None) or count(r[2]) == 0
-    some = lambda x: {k: sorted(v) for k, v in x.items() if sum(v) and k[0] != 905}  # noqa: E731  rows that repeat an id are cut together
+    some = lambda x: {k: sorted(v) for k, v in x.items() if sum(v)}
     assert some(got) == some(want)
 
 
+def test_rows_without_ids_fill_budgets_exactly(spark):
+    rows = [(None, "w " * 5, "aa", "few", 10)] * 10 + [(None, "w " * n, "aa", "many", 2 * n) for n in (15, 15, 15, 15, 15, 15, 15, 15, 14, 16)]
+    taken = take_mix(documents(spark, rows).repartition(3)).collect()
+    assert {s: sum(count(r["text"]) for r in taken if r["source"] == s) for s in ("few", "many")} == {"few": 100, "many": 100}
+    assert sorted(count(r["text"]) for r in taken if r["source"] == "many") == [11, 14, 15, 15, 15, 15, 15]
+
+
 def test_empty(spark):
     assert mix_sources(documents(spark)).count() == take_mix(documents(spark)).count() == 0
     assert mix_sources(documents(spark, [(1, None, None, None, None), (2, " ", "aa", "s", 1)])).count() == 0
