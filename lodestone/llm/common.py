@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
+import json
 import tempfile
 import time
 import uuid
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,25 +92,53 @@ def local_path(path: str) -> str | None:
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else None
 
 
+def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Named arrays as one file of the shared folder. A task that runs again writes the same file again."""
+    head, at, parts = {}, 0, []
+    for key, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        head[key] = (a.dtype.str, len(a), at)
+        parts.append(a.tobytes() + bytes(-a.nbytes % 64))
+        at += len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 64)
+    place = local_path(folder)
+    fs, base = (pafs.LocalFileSystem(), place) if place else pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base)
+    own = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        for x in (len(text).to_bytes(8, "little"), text, *parts):
+            f.write(x)
+    fs.move(own, f"{base}/{name}")
+
+
+def read_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    """What ``write_arrays`` wrote: memory-mapped where the folder is mounted, else read. A missing file raises."""
+    place = local_path(folder)
+    if place:
+        data = np.memmap(f"{place}/{name}", np.uint8, "r")
+    else:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_file(f"{base}/{name}") as f:
+            data = np.frombuffer(f.read(), np.uint8)
+    n = 8 + int.from_bytes(data[:8].tobytes(), "little")
+    return {k: data[n + at : n + at + m * np.dtype(kind).itemsize].view(kind) for k, (kind, m, at) in json.loads(data[8:n].tobytes()).items()}
+
+
 class SharedArrays:
-    """Named numpy arrays for all executors: memory-mapped from the shared folder where it is mounted, otherwise a broadcast."""
+    """Named numpy arrays for all executors, as a file of the shared folder that each worker maps or reads once."""
+
+    _read: dict[str, dict[str, np.ndarray]] = {}
 
     def __init__(self, spark: SparkSession, arrays: dict[str, np.ndarray]):
-        self._cast = self._dir = None
-        self._names = list(arrays)
-        where = local_path(shared_dir(spark))
-        if where is None:
-            self._cast = spark.sparkContext.broadcast(arrays)
-            return
-        os.makedirs(where)
-        for name, a in arrays.items():
-            np.save(f"{where}/{name}.npy", a)
-        self._dir = where
+        self._dir = shared_dir(spark)
+        write_arrays(self._dir, "arrays", arrays)
 
     def load(self) -> dict[str, np.ndarray]:
-        if self._cast is not None:
-            return self._cast.value
-        return {n: np.load(f"{self._dir}/{n}.npy", mmap_mode="r") for n in self._names}
+        if self._dir not in self._read:
+            self._read.clear()
+            self._read[self._dir] = read_arrays(self._dir, "arrays")
+        return self._read[self._dir]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -96,7 +96,7 @@ SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, start_token, n_tokens, CA
 WITH l(e) AS (VALUES {_ENTRIES}),
 u AS (SELECT row_number() OVER () AS r, page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS h,
     rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS p FROM pages),
-m AS (SELECT r, e, contains(e, '/') AS deep FROM u JOIN l ON h <> '' AND CASE WHEN contains(e, '/') THEN h || p = e OR starts_with(h || p, e || '/') ELSE h = e OR ends_with(h, '.' || e) END),
+m AS (SELECT r, e, contains(e, '/') AS deep FROM u JOIN l ON h <> '' AND CASE WHEN contains(e, '/') THEN h || p = e OR starts_with(h || p, e || '/') ELSE h = e OR (NOT regexp_full_match(h, '[0-9.]+') AND ends_with(h, '.' || e)) END),
 b AS (SELECT r, e FROM (SELECT r, e, row_number() OVER (PARTITION BY r ORDER BY deep DESC, length(e) DESC) AS k FROM m) WHERE k = 1)
 SELECT page_id, url, e IS NOT NULL AS blocked, e AS entry FROM u LEFT JOIN b USING (r)""",
 }

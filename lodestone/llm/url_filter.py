@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from importlib import resources
@@ -10,10 +11,10 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SharedArrays
+from lodestone.llm.common import U, read_arrays, shared_dir, write_arrays
 
 
 def listed(text: str) -> tuple[str, ...]:
@@ -27,9 +28,12 @@ BLOCKLIST = listed(resources.files("lodestone.llm").joinpath("blocklist.txt").re
 
 @dataclass(frozen=True)
 class UrlParams:
-    """Up to ``mapped_entries`` entries are memory-mapped by each worker; a longer list is joined."""
+    """A table's entries are sorted in shards of about ``shard_entries``, each a range of digests and a file that workers map."""
 
-    mapped_entries: int = 1 << 24
+    shard_entries: int = 1 << 22
+
+
+_ADDRESS = re.compile(r"[0-9.]+")
 
 
 def normal(entry: str) -> str:
@@ -51,7 +55,7 @@ def probes(url: str | None) -> list[str]:
     host, _, path = full.partition("/")
     parts = path.split("/") if path else []
     labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
+    hosts = [host] if ":" in host or _ADDRESS.fullmatch(host) else [".".join(labels[i:]) for i in range(len(labels))]
     return ["/".join([host, *parts[:i]]) for i in range(len(parts), 0, -1)] + hosts
 
 
@@ -81,62 +85,75 @@ class DigestArray:
         return out
 
 
+_MAPPED: dict[tuple[str, int], DigestArray] = {}
+
+
+def _shard(folder: str, k: int) -> DigestArray:
+    if (folder, k) not in _MAPPED:
+        if any(f != folder for f, _ in _MAPPED):
+            _MAPPED.clear()
+        _MAPPED[folder, k] = DigestArray(read_arrays(folder, f"shard-{k}"))
+    return _MAPPED[folder, k]
+
+
+def _of(digests: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each digest: equal ranges of the top 32 bits."""
+    return ((digests >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+
+
+def _write(entries: DataFrame | tuple[str, ...], folder: str, params: UrlParams, spark: SparkSession) -> int:
+    """Write the sorted shards and return how many; a table's are sorted and written by executors."""
+    if not isinstance(entries, DataFrame):
+        write_arrays(folder, "shard-0", DigestArray.arrays([e for e in entries if e]))
+        return 1
+    listed = entries.select(F.col(f"`{entries.columns[0]}`").cast("string").alias("entry")).filter("entry is not null")
+    shards = max(1, -(-listed.count() // params.shard_entries))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [x for x in map(normal, batch.column("entry").to_pylist()) if x]
+            digests = np.array([xxhash.xxh64_intdigest(x) for x in known], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_of(digests, shards).astype(np.int32)), pa.array(known, pa.string())], names=["shard", "entry"])
+
+    def write(table: pa.Table) -> pa.Table:
+        k = table["shard"][0].as_py()
+        write_arrays(folder, f"shard-{k}", DigestArray.arrays(table["entry"].to_pylist()))
+        return pa.table({"shard": pa.array([k], pa.int32())})
+
+    full = {r[0] for r in listed.mapInArrow(clean, "shard int, entry string").distinct().repartition(shards, "shard").groupBy("shard").applyInArrow(write, "shard int").collect()}
+    for k in set(range(shards)) - full:
+        write_arrays(folder, f"shard-{k}", DigestArray.arrays([]))
+    return shards
+
+
 def filter_urls(pages: DataFrame, entries: DataFrame | tuple[str, ...] = BLOCKLIST, params: UrlParams = UrlParams()) -> DataFrame:
     """One row for each input row: page_id, url, blocked, entry (the most specific one that blocks it, else null).
 
-    An entry without a path blocks a host and its subdomains, one with a path that path and all below it, by whole segments.
-    Null, empty and unparsable URLs, and those without a scheme, are not blocked. Null and empty entries are ignored,
-    repeated ones count once. Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
+    An entry without a path blocks a host and its subdomains (an address only itself), one with a path that path and all below
+    it, by whole segments. Null, empty and unparsable URLs, and those without a scheme, are not blocked. Null and empty entries
+    are ignored, repeated ones count once. Repeated rows give repeated results; other columns are ignored; an empty table gives
+    no rows.
     """
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    if isinstance(entries, DataFrame):
-        column = entries.columns[0]
-        listed = entries.select(F.col(column).cast("string").alias("entry")).filter("entry is not null")
-        if listed.count() > params.mapped_entries:
-            return _by_join(source, listed)
-        entries = tuple(r[0] for r in listed.toLocalIterator())
-    shared = SharedArrays(spark, DigestArray.arrays([e for e in entries if e]))
+    folder = shared_dir(spark)
+    shards = _write(entries, folder, params, spark)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray(shared.load())
         for batch in batches:
             keys, row = [], []
             for i, url in enumerate(batch.column("url").to_pylist()):
                 own = probes(url)
                 keys += own
                 row += [i] * len(own)
-            hits = np.flatnonzero(array.holds(keys))
+            digests = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
+            of, hit = _of(digests, shards), np.zeros(len(keys), bool)
+            for k in np.unique(of):
+                at = np.flatnonzero(of == k)
+                hit[at] = _shard(folder, int(k)).holds([keys[i] for i in at], digests[at])
             found: list[str | None] = [None] * batch.num_rows
-            for k in hits[::-1]:
+            for k in np.flatnonzero(hit)[::-1]:
                 found[row[k]] = keys[k]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([x is not None for x in found], pa.bool_()), pa.array(found, pa.string())], names=["page_id", "url", "blocked", "entry"])
 
     return source.mapInArrow(probe, "page_id long, url string, blocked boolean, entry string")
-
-
-def _by_join(source: DataFrame, listed: DataFrame) -> DataFrame:
-    """The same by a join on the probed strings, for lists that no worker should map."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = 0
-        for batch in batches:
-            keys, rank, row = [], [], []
-            for i, url in enumerate(batch.column("url").to_pylist()):
-                own = probes(url) or [None]
-                keys += own
-                rank += range(len(own))
-                row += [i] * len(own)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(row, np.int64) + serial), batch.column("page_id").take(at), batch.column("url").take(at), pa.array(keys, pa.string()), pa.array(rank, pa.int32())], names=["row", "page_id", "url", "entry", "rank"])
-            serial += batch.num_rows
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([normal(e) for e in batch.column("entry").to_pylist()], pa.string())], names=["listed"])
-
-    known = listed.mapInArrow(clean, "listed string").filter("listed <> ''").distinct()
-    asked = source.mapInArrow(spread, "row long, page_id long, url string, entry string, rank int").withColumn("part", F.spark_partition_id())
-    met = asked.join(known, F.col("entry") == F.col("listed"), "left")
-    best = met.groupBy("part", "row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.min_by("listed", F.when(F.col("listed").isNotNull(), F.col("rank"))).alias("entry"))
-    return best.select("page_id", "url", F.col("entry").isNotNull().alias("blocked"), "entry")

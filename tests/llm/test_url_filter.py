@@ -11,7 +11,7 @@ URLS = [
 WANT = ["bad.example.com", "bad.example.com", None, "ok.example.com/ads", None, "ok.example.com/ads", "evil.org", None, None, None, None, None, "a.b.co/x/y", None, None, None, "evil.org"]
 
 
-@pytest.mark.parametrize("params", [UrlParams(), UrlParams(mapped_entries=0)])
+@pytest.mark.parametrize("params", [UrlParams(), UrlParams(shard_entries=1)])
 @pytest.mark.parametrize("table", [False, True])
 def test_entries(spark, params, table):
     entries = spark.createDataFrame([(e,) for e in ENTRIES], "e string") if table else ENTRIES
@@ -29,6 +29,19 @@ def test_collisions_are_told_apart():
     assert a.holds(["one.example", "two.example", "three.example", "four.example"], np.full(4, 7, np.uint64)).tolist() == [True, True, True, False]
 
 
+def test_single_labels_and_addresses(spark):
+    urls = ["http://a.internal/x", "http://internal/", "http://10.1.2.3/", "http://2.3/", "http://[::1]/", "http://x.10.1.2.3.example/"]
+    got = {r["url"]: r["entry"] for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), SCHEMA), ("internal", "2.3", "3", "::1")).collect()}
+    assert got == dict(zip(urls, ["internal", "internal", None, "2.3", None, None], strict=True))
+
+
+def test_many_shards(spark):
+    entries = spark.range(3000).selectExpr("concat('site', id, '.example') as e")
+    urls = [(i, f"https://w.site{i}.example/p") for i in range(2900, 3100)]
+    got = filter_urls(spark.createDataFrame(urls, SCHEMA), entries, UrlParams(shard_entries=100)).collect()
+    assert sorted(r["page_id"] for r in got if r["blocked"]) == list(range(2900, 3000))
+
+
 def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     assert filter_urls(spark.createDataFrame([(1, "http://a.b/")], SCHEMA), ()).collect()[0]["blocked"] is False
