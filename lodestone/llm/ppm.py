@@ -9,23 +9,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U, chunks, local_path, shared_dir, stored
+from lodestone.llm.common import U, chunks, mix, read_arrays, shared_dir, small_batches, stored, trim, write_arrays
 
 
 @dataclass(frozen=True)
 class PpmParams:
     """``order`` is the number of context bytes (7 at most). Each document is scored by the trie of the ``folds`` - 1 folds that
-    it isn't in. Up to ``mapped_nodes`` leaves each worker loads the tries; beyond, scoring joins with them.
+    it isn't in. A trie is cut by a hash of its last two context bytes into shards of about ``shard_nodes`` leaves, each a
+    file that workers map.
     """
 
     order: int = 4
     folds: int = 2
-    mapped_nodes: int = 1 << 22
+    shard_nodes: int = 1 << 20
     count_bytes: int = 1 << 25
 
 
@@ -55,11 +54,11 @@ class Trie:
     lower: tuple[np.ndarray, ...]
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray, order: int) -> Trie:
-        """From the counts of the longest grams; shorter ones are their sums."""
-        ks, cs, xs, ts, ds, ls = ([] for _ in range(6))
+    def build(keys: np.ndarray, counts: np.ndarray, order: int, low: Trie | None = None) -> Trie:
+        """From the counts of the longest grams; shorter ones are their sums, or those of ``low`` as far as it goes."""
+        ks, cs, xs, ts, ds, ls = map(list, (low.keys, low.counts, low.contexts, low.totals, low.distinct, low.lower)) if low else ([] for _ in range(6))
         all_keys = keys.astype(np.uint64)
-        for k in range(order + 1):
+        for k in range(len(ks), order + 1):
             level, at = np.unique(all_keys & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
             n = np.bincount(at, counts, len(level)).astype(np.int64)
             context, where = np.unique(level >> U(8), return_inverse=True)
@@ -80,9 +79,8 @@ class Trie:
 
     @staticmethod
     def of(arrays: dict[str, np.ndarray], order: int) -> Trie:
-        """From what ``arrays`` gave; nothing at all is the trie of an empty corpus."""
-        none = {"keys": np.uint64, "contexts": np.uint64}
-        return Trie(*(tuple(arrays.get(f"{name}{k}", np.zeros(0, none.get(name, np.int64))) for k in range(order + 1)) for name in ("keys", "counts", "contexts", "totals", "distinct", "lower")))
+        """From what ``arrays`` gave."""
+        return Trie(*(tuple(arrays[f"{name}{k}"] for k in range(order + 1)) for name in ("keys", "counts", "contexts", "totals", "distinct", "lower")))
 
     def code_lengths(self, grams: np.ndarray) -> np.ndarray:
         """Bits for the last byte of each gram after the bytes before it.
@@ -185,25 +183,20 @@ def _fold(params: PpmParams):
     return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(params.folds)).cast("int")
 
 
-_LOADED: dict[str, list[Trie]] = {}
+_LOADED: dict[tuple[str, int, int], Trie] = {}
+
 
+def _load(folder: str, side: int, shard: int, order: int) -> Trie:
+    """One shard of a fold's trie, with the fold's two lowest levels; a worker keeps what it has mapped."""
+    if (folder, side, shard) not in _LOADED:
+        if any(f != folder for f, _, _ in _LOADED):
+            _LOADED.clear()
+        _LOADED[folder, side, shard] = Trie.of(read_arrays(folder, f"{side}-{shard}"), order)
+    return _LOADED[folder, side, shard]
 
-def _load(path: str, order: int, folds: int) -> list[Trie]:
-    """The tries of all folds, kept by a worker for its next task. Each array is a file of its own, read without copies."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        place = local_path(path)
-        fs, base = (pafs.LocalFileSystem(), place) if place else pafs.FileSystem.from_uri(path)
-        arrays: list[dict[str, np.ndarray]] = [{} for _ in range(folds)]
-        for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
-            if info.path.endswith(".parquet"):
-                name = info.path.split("/name=")[1].split("/")[0]
-                kind = np.uint64 if name.startswith(("keys", "contexts")) else np.int64
-                table = pq.ParquetFile(fs.open_input_file(info.path)).read(["side", "data"])
-                for side, data in zip(table["side"].to_pylist(), table["data"], strict=True):
-                    arrays[side][name] = np.frombuffer(data.as_buffer(), kind)
-        _LOADED[path] = [Trie.of(a, order) for a in arrays]
-    return _LOADED[path]
+
+def _shards_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(grams >> U(8) & U(0xFFFF)) % U(shards)).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFrame:
@@ -214,99 +207,62 @@ def score_documents(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFra
     gives no rows; long texts are read whole.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     order, folds = params.order, params.folds
     counts = stored(count_grams(docs, params), f"{shared_dir(spark)}/grams")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fold(params).alias("fold"), "text")
-    if counts.count() > params.mapped_nodes:
-        return _score_by_join(source, counts, params)
-    side = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    other = counts.withColumn("side", side).filter((F.col("side") != F.col("fold")) | F.lit(folds == 1))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = pdf.groupby("gram", sort=False)["n"].sum()
-        arrays = Trie.build(sums.index.to_numpy(np.int64).view(np.uint64), sums.to_numpy(), order).arrays()
-        return pd.DataFrame({"side": pdf["side"].iloc[0], "name": list(arrays), "data": [a.tobytes() for a in arrays.values()]})
-
-    tries = f"{shared_dir(spark)}/tries"
-    other.groupBy("side").applyInPandas(grow, "side int, name string, data binary").write.partitionBy("name").parquet(tries)
+    shards = max(1, -(-counts.count() // params.shard_nodes)) if order > 1 else 1
+    other = counts.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter((F.col("side") != F.col("fold")) | F.lit(folds == 1))
+    # the levels of one context byte and none are whole: 65536 keys a fold at most
+    top = min(order, 1)
+    sums = other.groupBy("side", F.col("gram").bitwiseAND(F.lit(0xFFFF if top else 0xFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    side, key, n = (sums[c].to_numpy() for c in ("side", "key", "n"))
+    lows = [Trie.build(key[side == f].astype(np.uint64), n[side == f], top) for f in range(folds)]
+    cast, folder = spark.sparkContext.broadcast(lows), shared_dir(spark)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _shards_of(batch.column("gram").to_numpy().view(np.uint64), shards)
+            yield pa.RecordBatch.from_arrays([batch.column("side"), pa.array(at.astype(np.int32)), batch.column("gram"), batch.column("n")], names=["side", "shard", "gram", "n"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        f, k = table["side"][0].as_py(), table["shard"][0].as_py()
+        grams, at = np.unique(table["gram"].to_numpy().view(np.uint64), return_inverse=True)
+        trie = Trie.build(grams, np.bincount(at, table["n"].to_numpy(), len(grams)), order, cast.value[f])
+        write_arrays(folder, f"{f}-{k}", trie.arrays())
+        trim()
+        return pa.table({"side": pa.array([f], pa.int32()), "shard": pa.array([k], pa.int32())})
+
+    rows = other.select("side", "gram", "n").mapInArrow(place, "side int, shard int, gram long, n long")
+    grown = rows.repartition(shards * folds, "side", "shard").groupBy("side", "shard").applyInArrow(grow, "side int, shard int").collect()
+    for f, k in {(f, k) for f in range(folds) for k in range(shards)} - {tuple(r) for r in grown}:
+        write_arrays(folder, f"{f}-{k}", Trie.build(np.zeros(0, np.uint64), np.zeros(0, np.int64), order, lows[f]).arrays())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown = _load(tries, order, folds)
         for batch in batches:
             fold = batch.column("fold").to_numpy()
             sizes, bits = [], []
-            for lo, hi, b, offsets in chunks(batch.column("text")):
+            for lo, hi, b, offsets in chunks(batch.column("text"), 1 << 21):
                 g = grams_of(b, offsets, order)
                 of = np.repeat(fold[lo:hi], np.diff(offsets))
                 each = np.zeros(len(b))
                 for f in range(folds):
                     own = np.flatnonzero(of == f)
                     at, level = pd.factorize(g[own])
-                    each[own] = grown[f].code_lengths(level)[at] if len(level) else 0
+                    shard = _shards_of(level, shards)
+                    cost = np.zeros(len(level))
+                    by = np.argsort(shard, kind="stable")
+                    cut = np.searchsorted(shard[by], np.arange(shards + 1))
+                    for k in np.flatnonzero(np.diff(cut)):
+                        here = by[cut[k] : cut[k + 1]]
+                        cost[here] = _load(folder, f, int(k), order).code_lengths(level[here])
+                    each[own] = cost[at]
                 total = np.concatenate([[0], np.cumsum(each)])
                 bits.append(total[offsets[1:]] - total[offsets[:-1]])
                 sizes.append(np.diff(offsets))
-            yield _scores(batch.column("doc_id"), np.concatenate(sizes) if sizes else np.zeros(0, np.int64), np.concatenate(bits) if bits else np.zeros(0))
+            size, total = np.concatenate(sizes) if sizes else np.zeros(0, np.int64), np.concatenate(bits) if bits else np.zeros(0)
+            rate = pa.array(np.round(total / np.maximum(size, 1), 6), mask=size == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(np.round(total, 3)), rate], names=["doc_id", "n_bytes", "code_bits", "bits_per_byte"])
+        trim()
 
     return source.mapInArrow(score, "doc_id long, n_bytes long, code_bits double, bits_per_byte double")
-
-
-def _scores(ids: pa.Array, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    rate = pa.array(np.round(bits / np.maximum(size, 1), 6), mask=size == 0)
-    return pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(np.round(bits, 3)), rate], names=["doc_id", "n_bytes", "code_bits", "bits_per_byte"])
-
-
-def _score_by_join(source: DataFrame, counts: DataFrame, params: PpmParams) -> DataFrame:
-    """The same scores without a trie in memory: each level of the tries is a table, and a document's grams find their
-    nodes by joins from the longest context down, carrying bits and exclusions."""
-    order, folds = params.order, params.folds
-    where = shared_dir(source.sparkSession)
-    fold_list = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    other = counts.withColumn("side", fold_list).filter(F.col("side") != F.col("fold")) if folds > 1 else counts.withColumn("side", F.lit(0))
-    # a gram's sign bit is shifted out with its oldest byte only at 7 context bytes; shiftrightunsigned covers it
-    low = lambda col, k: col.bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1 if k < 7 else -1))
-    levels = []
-    for k in range(order + 1):
-        keys = other.groupBy("side", low(F.col("gram"), k).alias("key")).agg(F.sum("n").alias("n"))
-        keys = stored(keys.withColumn("context", F.shiftrightunsigned("key", 8)), f"{where}/level{k}")
-        below = levels[k - 1][0].select("side", F.col("key").alias("shorter"), F.col("n").alias("m")) if k else None
-        with_lower = keys.withColumn("shorter", low(F.col("key"), k - 1)).join(below, ["side", "shorter"]) if k else keys.withColumn("m", F.lit(0).cast("long"))
-        contexts = with_lower.groupBy("side", "context").agg(F.sum("n").alias("total"), F.count("*").alias("different"), F.sum("m").alias("lower"))
-        levels.append((keys, stored(contexts, f"{where}/contexts{k}")))
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
-        for batch in batches:
-            side = batch.column("fold").to_numpy()
-            for lo, hi, b, offsets in chunks(batch.column("text")):
-                g = grams_of(b, offsets, order)
-                of = np.repeat(np.arange(hi - lo), np.diff(offsets))
-                o = np.lexsort((g, of))
-                new = np.ones(len(o), bool)
-                new[1:] = (g[o][1:] != g[o][:-1]) | (of[o][1:] != of[o][:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(o)))
-                r = of[o][at]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi].take(pa.array(r)), pa.array((r + row).astype(np.int64)), pa.array(side[lo:hi][r].astype(np.int32)), pa.array(g[o][at].astype(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "row", "side", "gram", "times"])
-                empty = np.flatnonzero(np.diff(offsets) == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi].take(pa.array(empty)), pa.array((empty + row).astype(np.int64)), pa.array(side[lo:hi][empty].astype(np.int32)), pa.array(np.zeros(len(empty), np.int64)), pa.array(np.zeros(len(empty), np.int64))], names=["doc_id", "row", "side", "gram", "times"])
-                row += hi - lo
-
-    grams = source.mapInArrow(tally, "doc_id long, row long, side int, gram long, times long").withColumn("part", F.spark_partition_id())
-    left = stored(grams, f"{where}/documents")
-    distinct = left.filter("times > 0").select("side", "gram").distinct()
-    state = distinct.select("side", "gram", F.lit(0.0).alias("bits"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("st"), F.lit(0).cast("long").alias("sd"))
-    for k in range(order, -1, -1):
-        keys, contexts = levels[k]
-        s = state.withColumn("key", low(F.col("gram"), k)).withColumn("context", F.shiftrightunsigned(low(F.col("gram"), k), 8))
-        s = s.join(keys.select("side", "key", "n"), ["side", "key"], "left").join(contexts, ["side", "context"], "left")
-        room = F.col("total") - F.col("st") + F.col("different") - F.col("sd")
-        fresh = F.col("different") - F.col("sd")
-        add = F.when(F.col("done") | F.col("total").isNull(), 0.0).when(F.col("n").isNotNull(), F.log2(room) - F.log2("n")).when(fresh > 0, F.log2(room) - F.log2(fresh)).otherwise(0.0)
-        state = s.select("side", "gram", (F.col("bits") + add).alias("bits"), (F.col("done") | F.col("n").isNotNull()).alias("done"), F.coalesce("lower", "st").alias("st"), F.coalesce("different", "sd").alias("sd"))
-    costs = state.select("side", "gram", (F.col("bits") + F.when(F.col("done"), 0.0).otherwise(F.log2(256 - F.col("sd")))).alias("bits"))
-    costs = stored(costs, f"{where}/costs")
-    size = F.sum("times")
-    total = F.coalesce(F.sum(F.col("times") * F.col("bits")), F.lit(0.0))
-    by_doc = left.join(costs, ["side", "gram"], "left").groupBy("part", "row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), size.alias("n_bytes"), F.round(total, 3).alias("code_bits"), F.round(total / F.nullif(size, F.lit(0)), 6).alias("bits_per_byte"))
-    return by_doc.select("doc_id", "n_bytes", "code_bits", "bits_per_byte")

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from lodestone.llm.ppm import PpmParams, Trie, adaptive_bits, grams_of, score_documents
+from lodestone.llm.ppm import PpmParams, Trie, _load, adaptive_bits, grams_of, score_documents
 
 from .corpora import AWKWARD, cluttered, documents, prose
 
@@ -66,7 +66,7 @@ def test_every_context_adds_up_to_one():
         assert (2 ** -trie.code_lengths(grams)).sum() == pytest.approx(1)
 
 
-@pytest.mark.parametrize("params", [PpmParams(), PpmParams(mapped_nodes=0), PpmParams(order=2, folds=3), PpmParams(order=2, folds=1, mapped_nodes=0)])
+@pytest.mark.parametrize("params", [PpmParams(), PpmParams(shard_nodes=100), PpmParams(order=2, folds=3), PpmParams(order=2, folds=1, shard_nodes=50), PpmParams(order=0), PpmParams(order=7, shard_nodes=1000)])
 def test_scores(spark, params):
     rows = [(i, t, "aa", "s", 1) for i, t in enumerate(prose("aa", 20, 9, 10, 30))] + [r for r in AWKWARD if r[0] != 904]
     df = cluttered(documents(spark, rows))
@@ -91,3 +91,8 @@ def test_long_and_empty(spark):
     assert score_documents(documents(spark)).count() == 0
     got = score_documents(documents(spark, [AWKWARD[5], (1, AWKWARD[5][1], None, None, None), (2, AWKWARD[5][1][::-1], None, None, None), (3, "x", None, None, None)])).collect()
     assert max(r["n_bytes"] for r in got) == len(AWKWARD[5][1].encode())
+
+
+def test_a_missing_trie_raises(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        _load(f"file:{tmp_path}/none", 0, 0, 4)
