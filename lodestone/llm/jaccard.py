@@ -96,7 +96,7 @@ def _survey(docs: DataFrame, params: JaccardParams) -> DataFrame:
         o = np.argsort(g, kind="stable")
         blob = lambda x: pa.array([x], pa.binary())
         one = [pa.array([1], pa.int32()), *(pa.array([x], pa.int64()) for x in (uuid.uuid4().int >> 65, 0, len(g)))]
-        return pa.RecordBatch.from_arrays([*one, blob(_squeeze(g[o])), blob(_small(row[o])), blob(sets.astype("<i8").tobytes()), blob(size[pick].astype("<u4").tobytes())], names=names)
+        return pa.RecordBatch.from_arrays([*one, blob(_squeeze(g[o])), blob(_planes(row[o])), blob(sets.astype("<i8").tobytes()), blob(size[pick].astype("<u4").tobytes())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -133,6 +133,16 @@ def _small(x: np.ndarray) -> bytes:
     return x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4").tobytes()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Small integers as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
 
@@ -227,7 +237,7 @@ def _prefixes(chunks_: DataFrame, counts: DataFrame, n_chunks: int, params: Jacc
             g = _unsqueeze(r["grams"], r["n"])
             counted = counted.sort_by("fragment")
             level = np.concatenate([np.frombuffer(pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True), np.uint8) for x, n in zip(counted["levels"], counted["n"].to_pylist(), strict=True)])
-            row, size, sets = _wide(r["rows"], len(g)), np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["sets"], "<i8")
+            row, size, sets = _unplanes(r["rows"], len(g)), np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["sets"], "<i8")
             o = np.argsort(row * 64 + level, kind="stable")
             g, row, level = g[o], row[o], level[o]
             place = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
@@ -416,6 +426,23 @@ def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), pairs
     return JaccardJoin(members, found, without)
 
 
+def _slot(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(SLOTS))
+
+
+def _bitmap(ids: DataFrame) -> SharedArrays:
+    """A bit for each slot that an ``id`` falls in: as large for any number of ids, so that a task can pass over most rows that aren't among them."""
+    slots = ids.select(_slot("id").alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word"))
+    found = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return SharedArrays(ids.sparkSession, {"bits": bits})
+
+
+def _holds(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & U(1) == U(1)
+
+
 def _compare(docs: DataFrame, needed: DataFrame, params: JaccardParams, pairs: bool) -> DataFrame:
     """What each component's, or pair of blocks', task finds: pairs; or sets with links here and the smallest set that similarity connects them to here."""
     spark = docs.sparkSession
@@ -427,17 +454,13 @@ def _compare(docs: DataFrame, needed: DataFrame, params: JaccardParams, pairs: b
     task = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
     placed = placed.select("signature", "component", "block", (F.col("blocks") > 1).alias("large"), task.alias("task"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
-    words_ = needed.select(F.col("representative").alias("id")).select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(SLOTS // 64, np.uint64)
-    bits[words_["word"].to_numpy()] = words_["bits"].to_numpy().view(np.uint64)
-    shared = SharedArrays(spark, {"bits": bits})
+    slot, shared = _slot("id"), _bitmap(needed.select(F.col("representative").alias("id")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.load()["bits"], set()
         for batch in batches:
             at = batch.column("slot").to_numpy()
-            texts = batch.column("text").filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == U(1)))
+            texts = batch.column("text").filter(pa.array(_holds(bits, at)))
             for lo, hi, g, off in gram_sets(texts, params.n):
                 sig = signatures(g, off)
                 new = [k for k in np.flatnonzero(np.diff(off)).tolist() if not (sig[k] in seen or seen.add(sig[k]))]
@@ -559,8 +582,15 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     gone = stored(named.join(first, "_group").filter(F.struct("doc_id", "signature") != F.col("_first")).select(F.col("doc_id").alias("_gone"), F.col("signature").alias("_set")), f"{where}/gone")
     rows = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
     again = stored(rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("id").alias("_gone")), f"{where}/again")
-    if again.isEmpty():
-        return unpacked(rows.join(gone.select("_gone"), F.col("id") == F.col("_gone"), "left_anti"), docs)
+    shared = _bitmap(gone.select(F.col("_gone").alias("id")).union(again))
+
+    @F.pandas_udf("boolean")
+    def among(slot: pd.Series) -> pd.Series:
+        return pd.Series(_holds(shared.load()["bits"], slot.to_numpy(np.int64)))
+
+    # most rows stay whatever the texts, and aren't shuffled
+    rows = rows.withColumn("among", F.col("id").isNotNull() & among(F.coalesce(_slot("id"), F.lit(0).cast("long"))))
+    clear, rows = rows.filter("not among").select("row"), rows.filter("among").drop("among")
 
     @F.pandas_udf("long")
     def own_set(text: pd.Series) -> pd.Series:
@@ -572,4 +602,4 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     many = rows.join(again, same, "left_semi").withColumn("own", own_set("row.text"))
     few = gone.join(again, "_gone", "left_semi")
     left = many.filter("own is not null").join(few, same & (F.col("own") == F.col("_set")), "left_anti").dropDuplicates(["id", "own"])
-    return unpacked(once.unionByName(left.drop("own")).unionByName(many.filter("own is null").drop("own")), docs)
+    return unpacked(clear.unionByName(once.select("row")).unionByName(left.select("row")).unionByName(many.filter("own is null").select("row")), docs)
