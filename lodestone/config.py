@@ -10,7 +10,8 @@ class EngineConfig:
     """All tunables. The defaults give 8-bit impacts, scores up to 255 and a budget of a tenth of the documents a query.
 
     ``accumulator_max`` bounds a document's score (255 or 65535). ``block_docs`` bounds the doc ids of one stored array.
-    ``broadcast_query_terms`` is the number of query terms up to which a batch is sent to all tasks.
+    ``broadcast_query_terms`` is the number of query terms up to which a batch is sent to all tasks, ``pushed_query_terms`` up
+    to which their names are pushed down to the scans.
     """
 
     search_proportion: float = 0.1
@@ -29,6 +30,7 @@ class EngineConfig:
     synonyms: bool = False
     block_docs: int = 1 << 16
     broadcast_query_terms: int = 100_000
+    pushed_query_terms: int = 256
 
     def __post_init__(self) -> None:
         if self.stemmer not in ("none", "s"):

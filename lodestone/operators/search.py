@@ -20,9 +20,21 @@ def parse_queries(queries: DataFrame, config: EngineConfig) -> DataFrame:
     return raw.select("qid", stem(F.col("term"), config.stemmer).alias("term")).filter("term <> ''").groupBy("qid", "term").agg(F.count("*").cast("int").alias("cnt"))
 
 
-def matched(index: Index, terms: DataFrame) -> DataFrame:
+def _named(terms: DataFrame, config: EngineConfig) -> tuple[DataFrame, list[str] | None]:
+    """The terms, and their names if they are few: the tables are sorted by term, so that a scan for names reads few row groups."""
+    rows = terms.limit(config.pushed_query_terms + 1).collect()
+    if len(rows) > config.pushed_query_terms:
+        return terms, None
+    return terms.sparkSession.createDataFrame(rows, terms.schema), sorted({r["term"] for r in rows})
+
+
+def _of_terms(table: DataFrame, names: list[str] | None) -> DataFrame:
+    return table if names is None else table.filter(F.col("term").isin(names))
+
+
+def matched(index: Index, terms: DataFrame, names: list[str] | None = None) -> DataFrame:
     """qid, term, impact, len, cnt, weight: the headers of the queries' segments, weighted by the terms' counts."""
-    hit = index.headers.join(_small(terms, index.config), "term")
+    hit = _of_terms(index.headers, names).join(_small(terms, index.config) if names is None else F.broadcast(terms), "term")
     return hit.select("qid", "term", "impact", "len", "cnt", (F.col("impact") * F.col("cnt")).alias("weight"))
 
 
@@ -65,10 +77,12 @@ def rescale(kept: DataFrame, config: EngineConfig) -> DataFrame:
     return summed.withColumn("score", F.when(fits.isNull(), score)).drop("_first", "_terms", "_best")
 
 
-def accumulate(index: Index, scored: DataFrame) -> DataFrame:
-    """qid, doc_id, score: only now the segments' ids are read."""
-    cells = _small(stored(scored.select("qid", "term", "impact", "score"), "cells"), index.config)
-    rows = index.segments.select("term", "impact", "docs").join(cells, ["term", "impact"]).select("qid", "score", F.explode("docs").alias("doc_id"))
+def accumulate(index: Index, scored: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """qid, doc_id, score: only now the segments' ids are read. Few named terms have a row for each impact at most, so
+    their segments are sent to all tasks uncounted."""
+    cells = scored.select("qid", "term", "impact", "score")
+    cells = _small(stored(cells, "cells"), index.config) if names is None else F.broadcast(cells)
+    rows = _of_terms(index.segments, names).select("term", "impact", "docs").join(cells, ["term", "impact"]).select("qid", "score", F.explode("docs").alias("doc_id"))
     return rows.groupBy("qid", "doc_id").agg(F.sum("score").cast("int").alias("score"))
 
 
@@ -81,7 +95,8 @@ def ranked(totals: DataFrame, k: int, offset: int = 0) -> DataFrame:
 
 def search_terms(index: Index, terms: DataFrame, k: int = 10, offset: int = 0, exhaustive: bool = False) -> DataFrame:
     index.config.check_k(k, offset)
-    return ranked(accumulate(index, rescale(prune(index, matched(index, terms), exhaustive), index.config)), k, offset)
+    terms, names = _named(terms, index.config)
+    return ranked(accumulate(index, rescale(prune(index, matched(index, terms, names), exhaustive), index.config), names), k, offset)
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = 10, offset: int = 0, exhaustive: bool = False) -> DataFrame:

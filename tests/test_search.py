@@ -238,3 +238,13 @@ def test_running_sum_is_greedy(segments, budget):
         greedy.append(best)
         total += best[1]
     assert window == greedy
+
+
+@pytest.mark.parametrize("pushed", [0, 256])
+def test_terms_are_pushed_to_the_scan(spark, tmp_path, pushed):
+    config = replace(DEFAULT, pushed_query_terms=pushed)
+    stored = build(spark, TEXTS, config)
+    plan = search.search_batch(stored, spark.createDataFrame([(0, "apple banana")], "qid long, query string"))
+    text = plan._jdf.queryExecution().toString()
+    assert ("In(term, [apple,banana])" in text) == (pushed > 0)
+    assert [(r["doc_id"], r["rank"]) for r in plan.orderBy("rank").collect()] == [(r["doc_id"], r["rank"]) for r in search.search_batch(build(spark, TEXTS), spark.createDataFrame([(0, "apple banana")], "qid long, query string")).orderBy("rank").collect()]
