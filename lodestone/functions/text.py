@@ -68,6 +68,13 @@ def html_titles(html: Column, config: EngineConfig = DEFAULT) -> Column:
     return F.coalesce(F.get(F.filter(found, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
+def decode_markup(text: Column) -> Column:
+    """The three references that mark-up needs, &lt; &gt; &amp;, and no others."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
 def _unscripted(html: Column, config: EngineConfig) -> Column:
     f = _flags(config)
     return F.regexp_replace(F.regexp_replace(html, f + "<script.*?(</script>|\\z)", " "), f + "<style.*?(</style>|\\z)", " ")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions.entities import decode_entities
-from lodestone.functions.text import BLANK, html_body, html_index_tokens, html_titles, plain_tokens, trec_body, trec_docno
+from lodestone.functions.text import BLANK, decode_markup, html_body, html_index_tokens, html_titles, plain_tokens, trec_body, trec_docno
 from lodestone.plans.session import stored
 
 
@@ -35,11 +35,15 @@ def from_plain(rows: DataFrame, id_column: str, text_column: str, config: Engine
     return rows.select(F.col(id_column).cast("long").alias("doc_id"), name.cast("string").alias("name"), F.lit("").alias("title"), tokens.alias("tokens"))
 
 
-def from_html(rows: DataFrame, id_column: str, html_column: str, name_column: str, config: EngineConfig = DEFAULT, snippets: bool = False) -> DataFrame:
-    """A corpus from a table of HTML. With ``snippets`` the words are kept as they read, entities decoded, beside those indexed."""
+def from_html(rows: DataFrame, id_column: str, html_column: str, name_column: str, config: EngineConfig = DEFAULT, snippets: bool = False, markup_only: bool = False) -> DataFrame:
+    """A corpus from a table of HTML. With ``snippets`` the words are kept as they read, entities decoded, beside those indexed.
+
+    Titles have all known references decoded, with ``markup_only`` only &lt; &gt; &amp;, others staying as they are.
+    """
     html = F.coalesce(F.col(html_column), F.lit(""))
     tokens = html_index_tokens(html, config)
-    columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(name_column).cast("string").alias("name"), F.substring(decode_entities(html_titles(html, config)), 1, config.max_term_length).alias("title"), tokens.alias("tokens")]
+    title = (decode_markup if markup_only else decode_entities)(html_titles(html, config))
+    columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(name_column).cast("string").alias("name"), F.substring(title, 1, config.max_term_length).alias("title"), tokens.alias("tokens")]
     if snippets:
         shown = F.regexp_extract_all(decode_entities(html_body(html, config)), F.lit(f"[^{BLANK}<]{{1,{config.max_term_length}}}"), F.lit(0))
         columns.append(shown.alias("shown"))

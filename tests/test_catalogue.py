@@ -35,3 +35,15 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["html_title"])
+def test_titles_with_other_references(spark, tmp_path, name):
+    titles = ["a &quot;b&quot;", "&amp;lt; &lt;i&gt; &amp;amp;", "&nbsp;&#65;&eacute;", "&quot;" * 30, "", None]
+    rows = [(i, f"http://x/{i}", t and f"<title>{t}</title>word") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = c.execute(catalogue.ORACLE_SQL[name])
+    columns = [x[0] for x in want.description]
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
