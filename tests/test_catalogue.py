@@ -37,7 +37,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["html_title"])
+@pytest.mark.parametrize("name", ["html_title", "stats_docids"])
 def test_titles_with_other_references(spark, tmp_path, name):
     titles = ["a &quot;b&quot;", "&amp;lt; &lt;i&gt; &amp;amp;", "&nbsp;&#65;&eacute;", "&quot;" * 30, "", None]
     rows = [(i, f"http://x/{i}", t and f"<title>{t}</title>word") for i, t in enumerate(titles)]
