@@ -125,10 +125,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {oracle.scores()} SELECT term, doc_id, round(s, 6) AS score FROM sc")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = document_index(spark, sf_dir)
-    average = index.meta.first()["avg_len"]
-    tf = index.postings.join(index.docs.select("doc_id", "len"), "doc_id")
-    return indexing.scored(tf, index.vocab, index.n_docs, average).select("term", "doc_id", F.round("score", 6).alias("score"))
+    return document_index(spark, sf_dir).scores.select("term", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {oracle.scores()} SELECT round(min(s), 6) AS min_rsv, round(max(s), 6) AS max_rsv FROM sc")
