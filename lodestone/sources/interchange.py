@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +27,8 @@ SCHEMAS = {
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1 << 16
+#: Bytes that are copied at a time.
+COPY_BYTES = 1 << 24
 
 
 def _varint(value: int) -> bytes:
@@ -268,15 +273,175 @@ def import_index(spark: SparkSession, path: str, quantised: bool = False) -> Ind
     return from_interchange(read_part(spark, path, "postings"), read_part(spark, path, "documents"), quantised)
 
 
+def _varint_columns(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 as rows of bytes, and how many of each row count."""
+    values = values.astype(np.uint64)
+    width = np.ones(len(values), np.int64)
+    for j in range(1, 10):
+        width += values >= np.uint64(1) << np.uint64(7 * j)
+    most = int(width.max(initial=1))
+    out = np.empty((len(values), most), np.uint8)
+    for j in range(most):
+        out[:, j] = (values >> np.uint64(7 * j)).astype(np.uint8) & 127 | (width > j + 1).astype(np.uint8) << 7
+    return out, width
+
+
+def encode_many(gaps: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all these postings, and where each begins. Numbers are 0 or more; a 0 is left out."""
+    (gap, gap_n), (tf, tf_n) = _varint_columns(gaps), _varint_columns(tfs)
+    gap_n, tf_n = np.where(gaps > 0, gap_n, -1), np.where(tfs > 0, tf_n, -1)
+    size = gap_n + tf_n + 2  # 22 bytes at most, so that a size is one byte
+    key = lambda x: np.full((len(gaps), 1), x, np.uint8)
+    cells = np.hstack([key(4 << 3 | 2), size.astype(np.uint8)[:, None], key(1 << 3), gap, key(2 << 3), tf])
+    used = lambda n, most: np.arange(-1, most) < n[:, None]
+    keep = np.hstack([np.ones((len(gaps), 2), bool), used(gap_n, gap.shape[1]), used(tf_n, tf.shape[1])])
+    return cells[keep], np.concatenate([[0], np.cumsum(size + 2)])
+
+
+PIECES = "part int, file string, whole long, heads array<struct<term: string, doc: long, tf: long, last: long, n: long, cf: long, start: long, bytes: long>>"
+
+
+def _list_writer(folder: str):
+    """Writes lists of rows of term, doc_id, tf in this order. One row for each part: the lists that may go on in other parts, by
+    where they are in the file, and the bytes of those in between, which are framed.
+
+    The first and the last list of a part may be pieces. A piece's first posting is not in the file, as its gap isn't known.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        fs, where = pafs.FileSystem.from_uri(folder)
+        file = f"{part}-{uuid.uuid4().hex}"
+        place = 0
+        first: dict | None = None  # the first list, whose bytes are at the file's begin
+        now: dict | None = None  # the list that is being read
+        body: list[bytes] = []
+        with fs.open_output_stream(f"{where}/{file}") as out:
+
+            def put(pieces: list[bytes]) -> int:
+                nonlocal place
+                n = 0
+                for x in pieces:
+                    out.write(x)
+                    n += len(x)
+                place += n
+                return n
+
+            def close() -> None:
+                """The list is over: the first one is written as a piece, the others whole, once it is known that more follow."""
+                nonlocal first, now, body
+                if first is None:
+                    first = now | {"start": place, "bytes": put(body)}
+                else:
+                    head = _bytes(1, now["term"].encode()) + _number(2, now["n"]) + _number(3, now["cf"])
+                    posting = _bytes(4, _number(1, now["doc"]) + _number(2, now["tf"]))
+                    rest = b"".join(body)
+                    put([_varint(len(head) + len(posting) + len(rest)), head, posting, rest])
+                now, body = None, []
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                terms, docs, tfs = batch.column("term"), batch.column("doc_id").to_numpy(), batch.column("tf").to_numpy().astype(np.int64)
+                new = np.ones(len(docs), bool)
+                new[1:] = pc.not_equal(terms.slice(1), terms.slice(0, len(terms) - 1)).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(new)
+                names = terms.take(pa.array(starts)).to_pylist()
+                goes_on = now is not None and names[0] == now["term"]
+                gaps = np.diff(docs, prepend=now["last"] if goes_on else 0)
+                gaps[starts[1:] if goes_on else starts] = 0  # the first postings of lists, written elsewhere
+                data, at = encode_many(gaps, tfs)
+                data, ends = data.tobytes(), np.append(starts[1:], len(docs))
+                sums = np.add.reduceat(tfs, starts)
+                lows, cuts, highs = docs[starts].tolist(), at[starts + 1].tolist(), at[ends].tolist()
+                begins, lasts, counts, cfs, tf0 = at[starts].tolist(), docs[ends - 1].tolist(), (ends - starts).tolist(), sums.tolist(), tfs[starts].tolist()
+                for i, term in enumerate(names):
+                    if i == 0 and goes_on:
+                        body.append(data[begins[0] : highs[0]])
+                        now["last"], now["n"], now["cf"] = lasts[0], now["n"] + counts[0], now["cf"] + cfs[0]
+                        continue
+                    if now is not None:
+                        close()
+                    now = {"term": term, "doc": lows[i], "tf": tf0[i], "last": lasts[i], "n": counts[i], "cf": cfs[i]}
+                    body = [data[cuts[i] : highs[i]]]
+            heads = []
+            if now is not None:
+                size = place
+                ending = now | {"start": place, "bytes": put(body)}
+                heads = [ending] if first is None else [first, ending]
+                whole_bytes = 0 if first is None else size - first["bytes"]
+        if heads:
+            yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "whole": whole_bytes, "heads": heads}], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("whole", pa.int64()), ("heads", pa.list_(pa.struct([("term", pa.string()), *((c, pa.int64()) for c in ("doc", "tf", "last", "n", "cf", "start", "bytes"))])))]))
+
+    return run
+
+
+def _record_writer(folder: str):
+    """Writes records of rows of doc_id, name, len as they come, a file for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        fs, where = pafs.FileSystem.from_uri(folder)
+        file = f"{part}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{where}/{file}") as out:
+            for batch in batches:
+                out.write(b"".join(framed(encode_document(*row)) for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "name", "len")), strict=True)))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file]})
+
+    return run
+
+
 def export_index(index: Index, path: str) -> None:
-    """Write an index's frequencies as one file, which the format wants: lists in order of terms, streamed through the driver."""
+    """Write an index's frequencies as one file, which the format wants, lists in order of terms.
+
+    Executors encode ranges of postings into files of a folder beside it; the driver joins their bytes, and closes the lists
+    that go over the end of a range. Of postings it sees the first of each range.
+    """
+    spark = index.docs.sparkSession
     fs, where = pafs.FileSystem.from_uri(path)
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    fs.create_dir(inner := f"{where}{folder[len(path) :]}")
     n_terms, total = index.vocab.count(), index.docs.agg(F.sum("len")).first()[0] or 0
-    lists = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("rows")).orderBy("term")
+    placed = index.postings.select("term", "doc_id", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    parts = sorted(placed.mapInArrow(_list_writer(folder), PIECES).collect(), key=lambda r: r["part"])
+    records = index.docs.select("doc_id", "name", "len").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    files = sorted(records.mapInArrow(_record_writer(folder), "part int, file string").collect(), key=lambda r: r["part"])
+
     with fs.open_output_stream(where) as out:
+
+        def copy(file: str, start: int, size: int) -> None:
+            with fs.open_input_file(f"{inner}/{file}") as f:
+                f.seek(start)
+                while size > 0:
+                    data = f.read(min(size, COPY_BYTES))
+                    if not data:
+                        raise ValueError("a part is shorter than it was written")
+                    out.write(data)
+                    size -= len(data)
+
+        pieces: list[tuple] = []  # of the list that isn't closed: file, piece, its first posting
+
+        def close() -> None:
+            if pieces:
+                head = _bytes(1, pieces[0][1]["term"].encode()) + _number(2, sum(h["n"] for _, h, _ in pieces)) + _number(3, sum(h["cf"] for _, h, _ in pieces))
+                out.write(_varint(len(head) + sum(len(p) + h["bytes"] for _, h, p in pieces)) + head)
+                for file, h, posting in pieces:
+                    out.write(posting)
+                    copy(file, h["start"], h["bytes"])
+                pieces.clear()
+
         out.write(framed(encode_header(n_terms, index.n_docs, total, total / index.n_docs if index.n_docs else 0.0)))
-        for row in lists.toLocalIterator():
-            docs, tfs = [r[0] for r in row["rows"]], [r[1] for r in row["rows"]]
-            out.write(framed(encode_postings(row["term"], len(docs), sum(tfs), docs, tfs)))
-        for row in index.docs.select("doc_id", "name", "len").orderBy("doc_id").toLocalIterator():
-            out.write(framed(encode_document(row["doc_id"], row["name"], row["len"])))
+        for r in parts:
+            for i, h in enumerate(r["heads"]):
+                if pieces and pieces[-1][1]["term"] != h["term"]:
+                    close()
+                if i:
+                    copy(r["file"], r["heads"][0]["bytes"], r["whole"])
+                before = pieces[-1][1]["last"] if pieces else 0
+                pieces.append((r["file"], h, _bytes(4, _number(1, h["doc"] - before) + _number(2, h["tf"]))))
+        close()
+        for r in files:
+            with fs.open_input_file(f"{inner}/{r['file']}") as f:
+                size = f.size()
+            copy(r["file"], 0, size)
+    fs.delete_dir(inner)

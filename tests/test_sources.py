@@ -112,6 +112,40 @@ def test_export(spark, tmp_path):
     assert key(again) == key(index) and again.n_docs == 3
 
 
+def test_many_postings_at_once():
+    gaps, tfs = [0, 1, 127, 128, 1 << 40, 5], [255, 0, 1, 128, 7, 300]
+    import numpy as np
+
+    data, at = interchange.encode_many(np.array(gaps), np.array(tfs))
+    want = [interchange._bytes(4, interchange._number(1, g) + interchange._number(2, t)) for g, t in zip(gaps, tfs, strict=True)]
+    assert data.tobytes() == b"".join(want) and at.tolist() == [0, *__import__("itertools").accumulate(map(len, want))]
+
+
+def test_export_by_parts(spark, tmp_path):
+    """The same bytes as list by list, where ranges end inside lists and a list is longer than a range; no list comes to the driver whole."""
+    texts = [" ".join(["all"] * (i % 5 + 1) + [f"w{'abcdefg'[i % 7]}"] * (i % 3) + [f"only{'abcdefghij'[i // 40]}{'klmnopqrst'[i // 4 % 10]}"]) for i in range(400)]
+    index = indexing.build(documents.from_plain(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t"))
+    lists = {}
+    for r in sorted(index.postings.collect(), key=lambda r: (r["term"], r["doc_id"])):
+        lists.setdefault(r["term"], []).append((r["doc_id"], r["tf"]))
+    docs = sorted(index.docs.collect(), key=lambda r: r["doc_id"])
+    total = sum(r["len"] for r in docs)
+    want = interchange.framed(interchange.encode_header(len(lists), 400, total, total / 400))
+    want += b"".join(interchange.framed(interchange.encode_postings(t, len(p), sum(f for _, f in p), [d for d, _ in p], [f for _, f in p])) for t, p in lists.items())
+    want += b"".join(interchange.framed(interchange.encode_document(r["doc_id"], r["name"], r["len"])) for r in docs)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for parts, batch in ((1, 10), (5, 10000), (40, 7)):
+        try:
+            for k, v in zip(before, (parts, "false", batch), strict=True):
+                spark.conf.set(k, v)
+            interchange.export_index(index, f"{tmp_path}/{parts}.ciff")
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert (tmp_path / f"{parts}.ciff").read_bytes() == want
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.ciff", "40.ciff", "5.ciff"]
+
+
 @pytest.fixture(scope="module")
 def index(spark):
     rows = spark.createDataFrame([(i, f"word{'abc'[i % 3]} common text") for i in range(30)], "i long, t string")
