@@ -25,6 +25,8 @@ SCHEMAS = {
 }
 
 
+#: Bytes of a span, which one task reads.
+SPAN_BYTES = 1 << 22
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1 << 16
 #: Bytes that are copied at a time.
@@ -260,10 +262,10 @@ class InterchangeSource(DataSource):
         return SCHEMAS[self.options.get("part", "postings")]
 
     def reader(self, schema) -> InterchangeReader:
-        return InterchangeReader(self.options["path"], self.options.get("part", "postings"), int(self.options.get("spanbytes", 1 << 26)))
+        return InterchangeReader(self.options["path"], self.options.get("part", "postings"), int(self.options.get("spanbytes", SPAN_BYTES)))
 
 
-def read_part(spark: SparkSession, path: str, part: str, span_bytes: int = 1 << 26) -> DataFrame:
+def read_part(spark: SparkSession, path: str, part: str, span_bytes: int = SPAN_BYTES) -> DataFrame:
     spark.dataSource.register(InterchangeSource)
     return spark.read.format("interchange").option("part", part).option("spanbytes", str(span_bytes)).load(path)
 

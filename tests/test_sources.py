@@ -182,3 +182,12 @@ def test_stream(spark, index, tmp_path):
     got = sorted((r["qid"], r["rank"], r["doc_id"], r["score"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     frame = spark.createDataFrame([(0, "worda"), (1, "wordb common"), (2, "none")], "qid long, query string")
     assert got == sorted(map(tuple, search.search_batch(index, frame).collect()))
+
+
+def test_import_is_read_by_many_tasks(spark, tmp_path):
+    """A file of 32 MB is not one task's work."""
+    rows = [(d, 1) for d in range(0, 1 << 20)]
+    message = interchange.framed(interchange.encode_postings("a", 1, 1, [d for d, _ in rows], [t for _, t in rows]))
+    (tmp_path / "x.ciff").write_bytes(interchange.framed(interchange.encode_header(4, 0, 0, 0.0)) + message * 4)
+    assert (tmp_path / "x.ciff").stat().st_size > 1 << 24
+    assert len(interchange.InterchangeSource({"path": f"{tmp_path}/x.ciff"}).reader(None).partitions()) == 4
