@@ -11,7 +11,8 @@ class EngineConfig:
 
     ``accumulator_max`` bounds a document's score (255 or 65535). ``block_docs`` bounds the doc ids of one stored array.
     ``broadcast_query_terms`` is the number of query terms up to which a batch is sent to all tasks, ``pushed_query_terms`` up
-    to which their names are pushed down to the scans.
+    to which their names are pushed down to the scans. ``chunk_cells`` bounds the cells (query, term, impact) of a batch that
+    a worker holds at once.
     """
 
     search_proportion: float = 0.1
@@ -31,6 +32,7 @@ class EngineConfig:
     block_docs: int = 1 << 16
     broadcast_query_terms: int = 100_000
     pushed_query_terms: int = 256
+    chunk_cells: int = 1 << 21
 
     def __post_init__(self) -> None:
         if self.stemmer not in ("none", "s"):

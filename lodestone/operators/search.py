@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
+from lodestone.functions import batches
 from lodestone.functions.text import query_tokens, stem
 from lodestone.operators.expansion import expand
 from lodestone.operators.indexing import Index
-from lodestone.plans.session import stored
+from lodestone.plans.session import stored, workspace
 
 
 def parse_queries(queries: DataFrame, config: EngineConfig) -> DataFrame:
@@ -79,13 +82,36 @@ def rescale(kept: DataFrame, config: EngineConfig) -> DataFrame:
 
 def accumulate(index: Index, scored: DataFrame, names: list[str] | None = None) -> DataFrame:
     """qid, doc_id, score: only now the segments' ids are read. Few named terms have a row for each impact at most, so
-    their segments are sent to all tasks uncounted."""
+    their segments are sent to all tasks uncounted. A row is made of each id that a query meets; large batches go by ``best``."""
     cells = scored.select("qid", "term", "impact", "score")
     cells = _small(stored(cells, "cells"), index.config) if names is None else F.broadcast(cells)
     rows = _of_terms(index.segments, names).select("term", "impact", "docs").join(cells, ["term", "impact"]).select("qid", "score", F.explode("docs").alias("doc_id"))
     return rows.groupBy("qid", "doc_id").agg(F.sum("score").cast("int").alias("score"))
 
 
+def best(index: Index, scored: DataFrame, most: int) -> DataFrame:
+    """qid, doc_id, score: of each query and block of ids the ``most`` best documents, with all that they score.
+
+    Blocks are summed up in arrays, query by query, and a block's segments are sent once for all queries, or for each chunk of
+    them where the cells are many or the blocks fewer than the tasks that could run.
+    """
+    spark, config = index.docs.sparkSession, index.config
+    cells = stored(scored.select(F.col("qid").cast("long").alias("qid"), "term", "impact", "score"), "cells")
+    if not (n := cells.count()):
+        return spark.createDataFrame([], batches.BEST)
+    blocks = index.n_docs // config.block_docs + 1
+    chunks = max(1, -(-n // config.chunk_cells), min(16, spark.sparkContext.defaultParallelism // blocks))
+    folder = f"{workspace(spark)}/chunks-{uuid.uuid4().hex}"
+    cells.withColumn("chunk", F.pmod(F.hash("qid"), F.lit(chunks))).repartition(chunks, "chunk").write.partitionBy("chunk").parquet(folder)
+    pairs = cells.select("term", "impact").distinct()
+    few = pairs.limit(config.broadcast_query_terms + 1).count() <= config.broadcast_query_terms
+    wanted = F.broadcast(pairs) if few else _small(cells.select("term").distinct(), config)
+    found = index.segments.select("term", "impact", "block", "docs").join(wanted, ["term", "impact"] if few else "term", "left_semi")
+    used = spark.read.parquet(folder).select("chunk").distinct()
+    each = found.crossJoin(F.broadcast(used))
+    return each.select("chunk", "block", "term", "impact", "docs").groupBy("chunk", "block").applyInArrow(batches.best_in_block(folder, most, config.block_docs), batches.BEST)
+
+
 def ranked(totals: DataFrame, k: int, offset: int = 0) -> DataFrame:
     """qid, rank (from 1), doc_id, score: by score, then doc_id, the k after ``offset``."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
@@ -96,7 +122,8 @@ def ranked(totals: DataFrame, k: int, offset: int = 0) -> DataFrame:
 def search_terms(index: Index, terms: DataFrame, k: int = 10, offset: int = 0, exhaustive: bool = False) -> DataFrame:
     index.config.check_k(k, offset)
     terms, names = _named(terms, index.config)
-    return ranked(accumulate(index, rescale(prune(index, matched(index, terms, names), exhaustive), index.config), names), k, offset)
+    scored = rescale(prune(index, matched(index, terms, names), exhaustive), index.config)
+    return ranked(best(index, scored, offset + k) if names is None else accumulate(index, scored, names), k, offset)
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = 10, offset: int = 0, exhaustive: bool = False) -> DataFrame:

@@ -248,3 +248,20 @@ def test_terms_are_pushed_to_the_scan(spark, tmp_path, pushed):
     text = plan._jdf.queryExecution().toString()
     assert ("In(term, [apple,banana])" in text) == (pushed > 0)
     assert [(r["doc_id"], r["rank"]) for r in plan.orderBy("rank").collect()] == [(r["doc_id"], r["rank"]) for r in search.search_batch(build(spark, TEXTS), spark.createDataFrame([(0, "apple banana")], "qid long, query string")).orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize("cells", [40, 1 << 21])
+@pytest.mark.parametrize("exhaustive", [False, True])
+def test_large_batches_by_blocks(spark, cells, exhaustive):
+    """Blocks of ids and chunks of queries find what one plan for rows of ids finds, and make no row of each id."""
+    r = random.Random(8)
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(40)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(40)], k=r.randint(0, 20))) for _ in range(200)]
+    index = build(spark, texts, replace(DEFAULT, block_docs=64, pushed_query_terms=0, chunk_cells=cells))
+    frame = spark.createDataFrame([(q, " ".join(r.choices([*words, "zzz"], k=r.randint(0, 5)))) for q in range(30)], "qid long, query string")
+    for k, offset in ((5, 0), (4, 3), (1000, 0)):
+        got = search.search_batch(index, frame, k, offset, exhaustive)
+        scored = search.rescale(search.prune(index, search.matched(index, search.parse_queries(frame, index.config)), exhaustive), index.config)
+        want = search.ranked(search.accumulate(index, scored), k, offset)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Explode" not in got._jdf.queryExecution().toString()
