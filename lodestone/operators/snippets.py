@@ -9,10 +9,20 @@ from lodestone.functions.text import normalise
 from lodestone.operators.indexing import Index
 
 
+def words_of(index: Index, hits: DataFrame) -> DataFrame:
+    """doc_id, tokens of the documents found. As many ids as one query can find are named to the scan, so that the other
+    documents' words are not even cut out of their texts; more ids are joined."""
+    ids, most = hits.select("doc_id").distinct(), index.config.max_k
+    named = [r["doc_id"] for r in ids.limit(most + 1).collect()]
+    if len(named) <= most:
+        return index.doc_tokens.filter(F.col("doc_id").isin(named))
+    return index.doc_tokens.join(ids, "doc_id", "left_semi")
+
+
 def hit_rows(index: Index, hits: DataFrame, terms: DataFrame) -> DataFrame:
     """qid, doc_id, pos, n, original, hit: the words of the documents found; a hit is a word whose index term the query has."""
     asked = terms.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    rows = hits.select("qid", "doc_id").join(index.doc_tokens, "doc_id").join(asked, "qid")
+    rows = hits.select("qid", "doc_id").join(words_of(index, hits), "doc_id").join(asked, "qid")
     words = rows.select("qid", "doc_id", F.size("tokens").alias("n"), "terms", F.posexplode("tokens").alias("pos", "original"))
     return words.select("qid", "doc_id", "pos", "n", "original", F.array_contains("terms", normalise(F.col("original"), index.config.stemmer)).alias("hit"))
 
@@ -41,7 +51,7 @@ def snippets(index: Index, hits: DataFrame, terms: DataFrame, before: str = "<b>
     if index.doc_tokens is None:
         return hits.select("qid", "doc_id", F.lit("").alias("snippet"))
     asked = terms.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    rows = hits.select("qid", "doc_id").join(best_windows(index, hits, terms), ["qid", "doc_id"], "left").join(index.doc_tokens, "doc_id", "left").join(asked, "qid")
+    rows = hits.select("qid", "doc_id").join(best_windows(index, hits, terms), ["qid", "doc_id"], "left").join(words_of(index, hits), "doc_id", "left").join(asked, "qid")
     shown = F.slice("tokens", F.coalesce("start", F.lit(0)) + 1, index.config.snippet_window)
     return rows.select("qid", "doc_id", F.coalesce(F.array_join(F.transform(shown, lambda t: _marked(t, F.col("terms"), index.config.stemmer, before, after)), " "), F.lit("")).alias("snippet"))
 

@@ -265,3 +265,16 @@ def test_large_batches_by_blocks(spark, cells, exhaustive):
         want = search.ranked(search.accumulate(index, scored), k, offset)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Explode" not in got._jdf.queryExecution().toString()
+
+
+def test_only_words_of_found_documents_are_read(spark, tmp_path):
+    """The ids found go to the scan, below the tokenising; more of them than one query finds are joined."""
+    spark.createDataFrame(list(enumerate(["key one", "two", "three key"])), "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    found = spark.createDataFrame([(0, 2), (1, 2), (0, 0)], "qid long, doc_id long")
+    for most, named in ((1000, True), (1, False)):
+        config = replace(DEFAULT, max_k=most)
+        plan = snippets.words_of(indexing.build(from_plain(rows, "doc_id", "text"), config, keep_tokens=True), found)
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert (" IN (" in text and text.index("regexp_extract_all") < text.index(" IN (")) == named
+        assert sorted(map(tuple, plan.collect())) == [(0, ["key", "one"]), (2, ["three", "key"])]
