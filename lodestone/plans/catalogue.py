@@ -14,7 +14,7 @@ from lodestone.functions.text import s_stem
 from lodestone.operators import expansion, indexing, results, search, snippets, stats
 from lodestone.plans import oracle
 from lodestone.plans.indexes import document_index, html_corpus, page_index, plain_corpus
-from lodestone.plans.session import workspace
+from lodestone.plans.session import stored, workspace
 from lodestone.sources import documents, interchange
 from lodestone.streaming.service import answer_stream
 
@@ -243,7 +243,7 @@ def search_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _found(spark: SparkSession, sf_dir: str, k: int = 50):
     index = document_index(spark, sf_dir)
     terms = search.parse_queries(_one(spark, TEXT), index.config)
-    return index, search.search_terms(index, terms, k), terms
+    return index, stored(search.search_terms(index, terms, k), "hits"), terms
 
 
 @query(f"WITH {oracle.windows(TEXT, 50)} SELECT doc_id, CAST(pos AS INTEGER) AS pos, hit FROM flag")
