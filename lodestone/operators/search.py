@@ -122,6 +122,7 @@ def ranked(totals: DataFrame, k: int, offset: int = 0) -> DataFrame:
 def search_terms(index: Index, terms: DataFrame, k: int = 10, offset: int = 0, exhaustive: bool = False) -> DataFrame:
     index.config.check_k(k, offset)
     terms, names = _named(terms, index.config)
+    index = index if names is None else index.narrowed(names)
     scored = rescale(prune(index, matched(index, terms, names), exhaustive), index.config)
     return ranked(best(index, scored, offset + k) if names is None else accumulate(index, scored, names), k, offset)
 

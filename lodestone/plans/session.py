@@ -41,5 +41,5 @@ def workspace(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder of the workspace and read it back, which cuts its lineage."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary#held", "false").option("parquet.enable.dictionary#ends", "false").parquet(path)  # lists of postings hardly repeat
     return df.sparkSession.read.schema(df.schema).parquet(path)

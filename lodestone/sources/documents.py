@@ -1,4 +1,4 @@
-"""Readers. Each gives a corpus: doc_id, name, title, tokens (raw words in order)."""
+"""Readers. Each gives a corpus: doc_id, name, title, tokens (raw words in order), and the text that these are cut out of if it is plain."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def from_plain(rows: DataFrame, id_column: str, text_column: str, config: Engine
     """A corpus from a table of plain texts whose ids are dense."""
     name = F.col(name_column) if name_column else F.col(id_column)
     tokens = F.coalesce(plain_tokens(F.col(text_column), config), F.array().cast("array<string>"))
-    return rows.select(F.col(id_column).cast("long").alias("doc_id"), name.cast("string").alias("name"), F.lit("").alias("title"), tokens.alias("tokens"))
+    return rows.select(F.col(id_column).cast("long").alias("doc_id"), name.cast("string").alias("name"), F.lit("").alias("title"), tokens.alias("tokens"), F.col(text_column).cast("string").alias("text"))
 
 
 def from_html(rows: DataFrame, id_column: str, html_column: str, name_column: str, config: EngineConfig = DEFAULT, snippets: bool = False, markup_only: bool = False) -> DataFrame:
