@@ -94,10 +94,14 @@ def _letters_decoded(text: Column) -> Column:
     return F.when(text.contains("&#"), out).otherwise(text)
 
 
+def html_index_body(html: Column, config: EngineConfig = DEFAULT) -> Column:
+    """Text of HTML for indexing; entities join what they stand between."""
+    return F.regexp_replace(_letters_decoded(html_body(html, config)), ENTITY, "")
+
+
 def html_index_tokens(html: Column, config: EngineConfig = DEFAULT) -> Column:
-    """Words of HTML for indexing: runs without blanks, in pieces; entities join what they stand between."""
-    body = F.regexp_replace(_letters_decoded(html_body(html, config)), ENTITY, "")
-    return F.regexp_extract_all(body, F.lit(f"[^{BLANK}<]{{1,{config.max_term_length}}}"), F.lit(0))
+    """Words of HTML for indexing: runs without blanks, in pieces."""
+    return F.regexp_extract_all(html_index_body(html, config), F.lit(f"[^{BLANK}<]{{1,{config.max_term_length}}}"), F.lit(0))
 
 
 def trec_docno(doc: Column, config: EngineConfig = DEFAULT) -> Column:

@@ -1,4 +1,4 @@
-"""Readers. Each gives a corpus: doc_id, name, title, tokens (raw words in order), and the text that these are cut out of if it is plain."""
+"""Readers. Each gives a corpus: doc_id, name, title, tokens (raw words in order), and the text or body that these are cut out of."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions.entities import decode_entities
-from lodestone.functions.text import BLANK, decode_markup, html_body, html_index_tokens, html_titles, plain_tokens, trec_body, trec_docno
+from lodestone.functions.text import BLANK, decode_markup, html_body, html_index_body, html_index_tokens, html_titles, plain_tokens, trec_body, trec_docno
 from lodestone.plans.session import stored
 
 
@@ -41,9 +41,9 @@ def from_html(rows: DataFrame, id_column: str, html_column: str, name_column: st
     Titles have all known references decoded, with ``markup_only`` only &lt; &gt; &amp;, others staying as they are.
     """
     html = F.coalesce(F.col(html_column), F.lit(""))
-    tokens = html_index_tokens(html, config)
+    tokens, body = html_index_tokens(html, config), html_index_body(html, config)
     title = (decode_markup if markup_only else decode_entities)(html_titles(html, config))
-    columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(name_column).cast("string").alias("name"), F.substring(title, 1, config.max_term_length).alias("title"), tokens.alias("tokens")]
+    columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(name_column).cast("string").alias("name"), F.substring(title, 1, config.max_term_length).alias("title"), tokens.alias("tokens"), body.alias("body")]
     if snippets:
         shown = F.regexp_extract_all(decode_entities(html_body(html, config)), F.lit(f"[^{BLANK}<]{{1,{config.max_term_length}}}"), F.lit(0))
         columns.append(shown.alias("shown"))
